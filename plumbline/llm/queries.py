@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, exact_dedup, line_dedup, packing, simhash, url_filter
+from plumbline.llm import bpe, chat, exact_dedup, html_text, jaccard_join, line_dedup, packing, quality, simhash, url_filter
 from plumbline.llm.common import body, stored
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -102,6 +102,10 @@ FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN texts t USING (doc_
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).drop("alias_of")
 
@@ -121,6 +125,18 @@ FROM d JOIN g USING (norm)
 """
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "keep")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -165,8 +181,12 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_url_filters": op5_url_filters,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL}
