@@ -217,4 +217,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = dedup_arrivals(docs).where("kept").select("doc_id", "text_sha256").distinct()
     marked = docs.withColumn("__sha", F.sha2(normalised(body()), 256))
     same = (marked["doc_id"].eqNullSafe(kept["doc_id"])) & (marked["__sha"] == kept["text_sha256"])
-    return marked.join(kept, same, "left_semi").drop("__sha")
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")

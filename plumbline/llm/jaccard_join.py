@@ -291,3 +291,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that stay, with all their columns: those with the least id of each group."""
+    first = jaccard_groups(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi")

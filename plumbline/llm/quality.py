@@ -1,9 +1,9 @@
 """Quality classifier from weak labels: expectation-maximisation over heuristic labellers, then a hashed linear scorer.
 
-Heuristics look at a whole text and vote clean (1), junk (-1) or nothing (0). Given the true class, votes are
-taken as independent, so the corpus is summed up by how often each combination of votes occurs: a small table,
-whatever the input. Expectation-maximisation on it finds the share of clean documents and, per labeller and
-class, how often it casts each vote. The posterior of every combination labels a bounded sample of documents, on
+Heuristics look at a whole text and vote clean (1), junk (-1) or nothing (0); they overlap and
+some only ever vote junk. Given the true class, votes are taken as independent, so the corpus is summed up by how
+often each combination of votes occurs: a small table, whatever the input. Expectation-maximisation on it
+estimates the share of clean documents and each labeller's accuracy on either class. The posterior of every combination labels a bounded sample of documents, on
 which a logistic scorer with hashed features (shape, ending and spelling of words, document-level bins) is
 trained; it then scores all documents.
 
@@ -14,6 +14,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -24,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import body, cut
+from plumbline.llm.common import body
 
 #: Documents that the scorer is trained on, at most about twice this: chosen by a hash of the id.
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 14
 #: A document with a lower score is rejected.
 THRESHOLD = 0.5
+#: Expected P(vote | class) for votes junk, none, clean: of junk documents, then of clean ones.
+BELIEFS = np.array([[0.4, 0.4, 0.2], [0.005, 0.5, 0.495]])
+#: Weight of these expectations, as a share of the documents.
+PRIOR_SHARE = 0.5
 _CACHE_WORDS = 300_000
 _MARKS = "#$%&*|<>{}[]\\^~_=+@"
 _RUN = re.compile(r"(.)\1+")
@@ -51,50 +56,47 @@ def votes(text: str, words: list[str]) -> tuple[int, ...]:
         return (0,) * len(LABELLERS)
     marks = sum(map(text.count, _MARKS)) / n
     capitals = sum(map(str.isupper, words)) / n
-    fresh = len(set(words)) / n
+    fresh = math.log(len(set(words))) / math.log(n) if n > 1 else 1.0
     common = sum(map(FUNCTION_WORDS.__contains__, words)) / n
-    length = len(text) / n
     sentences = (text.count(". ") + text.count(".\n") + text.endswith(".")) / n
     shouting = (text.count("!") + text.count("?")) / n
-    between = lambda x, junk, clean: -1 if x > junk else 1 if x < clean else 0
+    enough = n >= 8
     return (
-        between(marks, 0.3, 0.05),
-        between(capitals, 0.3, 0.1),
-        0 if n < 8 else -1 if fresh < 0.15 else 1 if fresh > 0.3 else 0,
-        0 if n < 8 else 1 if common > 0.1 else -1 if common < 0.02 else 0,
-        between(length, 14, 9) if length > 2 else -1,
-        0 if n < 8 else 1 if 0.02 < sentences < 0.5 else -1 if not sentences else 0,
-        between(shouting, 0.3, 0.05),
+        -(marks > 0.2),
+        -(capitals > 0.3 and enough),
+        -(fresh < 0.7 and enough),
+        enough * ((common > 0.08) - (common < 0.02)),
+        -(len(text) / n > 16),
+        enough * ((0.01 < sentences < 0.5) - (not sentences)),
+        -(shouting > 0.3 and enough),
     )
 
 
-def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
+def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, np.ndarray]:
     """Expectation-maximisation: the share of clean documents and P(vote | class) as [labeller, class, vote + 1].
 
-    Starts from the assumption that each labeller's votes are right more often than not, which tells the two
-    classes apart.
+    The rates start at :data:`BELIEFS` (heuristics seldom call clean text junk), which also enter as prior votes,
+    a fixed share of the corpus; without them the two classes could be any split that votes agree on.
     """
-    seen = np.array(list(patterns), int).reshape(len(patterns), -1) + 1
+    seen = np.array(list(patterns), int).reshape(len(patterns), -1)
     weight = np.array([patterns[p] for p in patterns], float)
-    labellers = np.arange(seen.shape[1])
-    rates = np.tile(np.array([[0.4, 0.35, 0.25], [0.1, 0.3, 0.6]]), (len(labellers), 1, 1))
+    rates = np.tile(BELIEFS, (seen.shape[1], 1, 1))
     clean = 0.8
     for _ in range(rounds):
-        belief = posterior(seen - 1, clean, rates) * weight
-        clean = min(0.99, max(0.01, belief.sum() / weight.sum()))
+        belief = posterior(seen, clean, rates)
+        mass = np.stack([(1 - belief) * weight, belief * weight])
+        clean = min(0.98, max(0.02, float(mass[1].sum() / weight.sum())))
         for vote in range(3):
-            cast = (seen == vote).T
-            rates[:, 1, vote] = (cast * belief).sum(1) + 1.0
-            rates[:, 0, vote] = (cast * (weight - belief)).sum(1) + 1.0
+            rates[:, :, vote] = (mass @ (seen == vote - 1)).T + PRIOR_SHARE * weight.sum() * BELIEFS[:, vote]
         rates /= rates.sum(axis=2, keepdims=True)
     return clean, rates
 
 
 def posterior(patterns: np.ndarray, clean: float, rates: np.ndarray) -> np.ndarray:
     """P(clean | votes) of every row of votes."""
-    labellers = np.arange(patterns.shape[1])
-    log = [np.log(p) + np.log(rates[labellers, c][labellers, patterns + 1]).sum(axis=1) for c, p in ((0, 1 - clean), (1, clean))]
-    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+    each = np.log(rates)[np.arange(patterns.shape[1]), :, patterns + 1].sum(axis=1)
+    margin = np.log(clean / (1 - clean)) + each[:, 1] - each[:, 0]
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
 def _shape(word: str) -> str:
@@ -109,7 +111,8 @@ def word_features(word: str) -> tuple[int, ...]:
 
 def text_features(words: list[str]) -> tuple[int, ...]:
     n = len(words)
-    names = (f"fresh:{int(10 * len(set(words)) / n)}", f"size:{n.bit_length()}")
+    fresh = math.log(len(set(words))) / math.log(n) if n > 1 else 1.0
+    names = (f"fresh:{int(10 * fresh)}", f"size:{n.bit_length()}")
     return tuple(crc32(name.encode()) % BUCKETS for name in names)
 
 
@@ -184,7 +187,7 @@ def score_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: fl
     counted = _votes_of(docs).groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) rows
     patterns = {tuple(r["votes"]): r["count"] for r in counted}
     total = sum(patterns.values())
-    clean, rates = fit_labellers(patterns) if total else (0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
+    clean, rates = fit_labellers(patterns) if total else (0.5, np.tile(BELIEFS, (len(LABELLERS), 1, 1)))
     sample = _sampled(docs, min(1.0, sample_rows / max(1, total))).limit(2 * sample_rows).collect()
     rows = [(np.array(r["at"], int), np.array(r["much"], float)) for r in sample]
     labels = posterior(np.array([r["votes"] for r in sample], int).reshape(len(sample), len(LABELLERS)), clean, rates)
