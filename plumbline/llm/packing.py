@@ -14,6 +14,7 @@ the id; rows repeated with one id are packed like any other. An empty table give
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,10 +28,12 @@ from plumbline.llm.common import stored
 
 #: Groups in which ranks are counted: the pieces of one length are dealt into as many as it takes.
 _RANK_GROUPS = 1 << 16
-_RANK_ROWS = 512
+_RANK_ROWS = 128
 #: Words whose ids a Python worker remembers; at the limit it forgets them all and goes on.
 _CACHE_WORDS = 300_000
 _SLICE_CHARS = 1 << 20
+#: Letters that normalisation only lower-cases, with punctuation behind (no apostrophe: it may join letters).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ſ]+)([.,;:!?#$%&*|]*)")
 
 
 class WordIds:
@@ -42,19 +45,44 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the vocabulary's model for words that need no normalising or splitting
+        self.model = Tokenizer(self.tokenizer.model)
+        split, letters = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([split, letters])
+        self.letters: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
+        """Remember the ids of distinct chunks.
+
+        Most are Latin letters with punctuation behind, which pre-tokenisation parts; so case and punctuation
+        are taken off and the letters, as far as they are new, go to the vocabulary's model together.
+        """
+        if len(self.letters) > _CACHE_WORDS:
+            self.letters = {}
+        parted = [(w, _PLAIN.fullmatch(w)) for w in words]
+        rest = [w for w, m in parted if m is None]
+        plain = [(w, m[1].lower(), m[2]) for w, m in parted if m is not None]
+        new = list({core for _, core, _ in plain}.difference(self.letters))
+        if new:
+            self._ids_of(self.model.encode(" ".join(new), add_special_tokens=False), new, self.letters)
+        rest = list({*rest, *(tail for _, _, tail in plain if tail)}.difference(self.cache))
+        if rest:
+            self._ids_of(self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False), rest, self.cache)
+        letters, cache = self.letters, self.cache
+        for word, core, tail in plain:
+            cache[word] = letters[core] + cache[tail]
+
+    @staticmethod
+    def _ids_of(found, words: list[str], known: dict[str, bytes]) -> None:
         ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)), "right") * 4
-        raw, start = ids.tobytes(), 0
+        raw, start = np.array(found.ids, "<u4").tobytes(), 0
         for word, end in zip(words, ends.tolist(), strict=True):
-            self.cache[word] = raw[start:end]
+            known[word] = raw[start:end]
             start = end
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
