@@ -4,8 +4,8 @@ The encoding of a word is fixed by the last tokens of the encodings of its prefi
 the only vocabulary entry that ends there and may follow the last token of what stands before it, where a token
 may follow another if BPE leaves the two side by side. Distinct words are therefore put into a trie and walked
 depth first; each node gets its last token once, whatever number of words share it, and a word's tokens are read
-back from its end. A task inserts the new words of some texts at a time: sorted, a word's path differs from the
-previous one's only below their common prefix, so the walk needs no more memory than one path.
+back from its end. A Python worker keeps its trie from task to task, up to a bounded number of nodes, and inserts
+the new words of some texts at a time.
 
 Null counts as the empty text and has no tokens. A special token's string in a text becomes that token, as the
 tokenizers library has it. Texts of any length are handled whole; repeated rows are each encoded.
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from plumbline.llm.common import body
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks and words whose ids a Python worker remembers; at the limit it forgets them all and goes on.
 _CACHE = 300_000
+#: Nodes of a worker's trie; beyond it starts afresh.
+_NODES = 500_000
 _SLICE_CHARS = 1 << 20
 
 
@@ -60,17 +63,23 @@ class TrieBpe:
         self.merged = {(a, b): self.ids[self.bytes_of[a] + self.bytes_of[b]] for a, b in self.rank}
         self.longest = max(map(len, self.ids))
         self.pattern = regex.compile(PATTERN)
-        # white space other than single spaces and line feeds, or spaces beside white space: no simple chunks
-        self.uneven = regex.compile(r"[^\S \n]| \s|\n |^ | \Z")
+        # white space but spaces and line feeds; a zero byte marks the places to cut
+        self.other_space = re.compile(r"[^\S \n]|\x00")
         # where Unicode versions may class letters differently, the library splits the text itself
-        self.exotic = regex.compile(r"[^\x00-՗‐-‧一-龥]")
+        self.exotic = re.compile(r"[^\x00-՗‐-‧一-龥]")
         self.splits = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.made_by: dict[int, tuple[int, tuple[int, int]]] = {}
+        for parts, k in self.rank.items():
+            self.made_by.setdefault(self.merged[parts], (k, parts))
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.follows: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.child: dict[int, int] = {}
+        self.last = [-1]  # of the empty prefix: none
         self.chunks: dict[str, bytes] = {}
 
     def merge(self, tokens: list[int]) -> list[int]:
@@ -83,52 +92,86 @@ class TrieBpe:
             tokens[best : best + 2] = [self.merged[pair]]
         return tokens
 
+    def _edges(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at one edge (0 left, 1 right) while a token is built, with the rank of the merge that ends each."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, part, until = [], token, 1 << 60
+            while part is not None:
+                known.append((part, until))
+                until, parts = self.made_by.get(part, (0, None))
+                part = parts[side] if parts else None
+            self.edges[side][token] = known
+        return known
+
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether BPE encodes the bytes of both as these two tokens; ``before`` -1: as ``token`` alone."""
-        key = (before, token)
+        """Whether BPE encodes the bytes of both as these two tokens; ``before`` -1: as ``token`` alone.
+
+        It does unless some merge joins what stands at the common border at its time. Merges of one rank go from
+        left to right, so a merge across the border comes after one of its rank before it, and before one behind it.
+        """
+        key = (before + 1) << 20 | token
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 2 * _CACHE:
+            if len(self.follows) > 4 * _CACHE:
                 self.follows.clear()
-            text = (self.bytes_of[before] if before >= 0 else b"") + self.bytes_of[token]
-            expected = [before, token] if before >= 0 else [token]
-            known = self.follows[key] = self.merge([self.ids[bytes([b])] for b in text]) == expected
+            if before < 0:
+                known = self.merge([self.ids[bytes([b])] for b in self.bytes_of[token]]) == [token]
+            else:
+                rank = self.rank
+                known = self.may_follow(-1, token) and not any(
+                    rank.get((a, b), 1 << 60) < until and rank[a, b] <= until_b
+                    for a, until in self._edges(before, 1)
+                    for b, until_b in self._edges(token, 0)
+                )
+            self.follows[key] = known
         return known
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words by a depth-first walk of their trie and remember the ids."""
-        ids, longest, follow = self.ids, self.longest, self.may_follow
-        path = b""
-        last: list[int] = []  # last token of every prefix of the path
-        for word, text in sorted(((w.encode(), w) for w in words)):
-            shared = len(commonprefix((path, word)))
-            del last[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and follow(last[start - 1] if start else -1, token):
-                        last.append(token)
-                        break
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-            path, end, out = word, len(word), []
+        """Insert distinct words into the trie, in depth-first order, and remember their ids.
+
+        A node's key is its parent and its byte; it holds the last token of its prefix and where the node before
+        that token is. Only nodes that no earlier word has made are worked out.
+        """
+        ids, longest, follow, bytes_of = self.ids, self.longest, self.may_follow, self.bytes_of
+        child, last, known = self.child, self.last, self.follows
+        for word, text in sorted([(w.encode(), w) for w in words]):
+            path, node = [0], 0
+            for end, byte in enumerate(word, 1):
+                key = node << 8 | byte
+                node = child.get(key, 0)
+                if not node:
+                    for start in range(end - longest if end > longest else 0, end):
+                        token = ids.get(word[start:end])
+                        if token is not None:
+                            before = last[path[start]]
+                            fits = known.get((before + 1) << 20 | token)
+                            if follow(before, token) if fits is None else fits:
+                                break
+                    else:
+                        raise ValueError("the vocabulary lacks a byte")
+                    node = child[key] = len(last)
+                    last.append(token)
+                path.append(node)
+            end, out = len(word), []
             while end:
-                token = last[end - 1]
+                token = last[path[end]]
                 out.append(token)
-                end -= len(self.bytes_of[token])
-            self.words[text] = np.array(out[::-1], "<u4").tobytes()
+                end -= len(bytes_of[token])
+            out.reverse()
+            self.words[text] = array("I", out).tobytes()
 
-    def _split(self, text: str) -> list[str]:
-        if self.exotic.search(text):
+    def _split(self, text: str, exotic: bool) -> list[str]:
+        if exotic:
             return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.pattern.findall(text)
 
     def _chunked(self, text: str) -> list[str]:
         """Chunks that no word crosses: between two characters that aren't white space, a space begins a word."""
-        if self.uneven.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)]
+        even = not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text)
+        if even and not self.other_space.search(text):
+            return text.replace(" ", "\x00 ").split("\x00")
+        return [text]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of every text, a bounded slice of texts at a time."""
@@ -144,8 +187,11 @@ class TrieBpe:
                 self.chunks = {}
             if len(self.words) > _CACHE:
                 self.words = {}
+            if len(self.last) > _NODES:
+                self.child, self.last = {}, [-1]
             new = set().union(*(c for row in chunked for c in row[::2])).difference(self.chunks)
-            split = [(c, self._split(c)) for c in new]
+            exotic = any(map(self.exotic.search, texts[at:end]))
+            split = [(c, [c] if c[1:].isalpha() and c[0] == " " and not exotic else self._split(c, exotic)) for c in new]
             self.learn({w for _, words in split for w in words}.difference(self.words))
             word = self.words.__getitem__
             for chunk, words in split:
