@@ -141,7 +141,9 @@ class TrieBpe:
                 key = node << 8 | byte
                 node = child.get(key, 0)
                 if not node:
-                    for start in range(end - longest if end > longest else 0, end):
+                    # only one start is right; it is seldom before that of the last token so far
+                    likely = end - 1 - len(bytes_of[last[path[-1]]]) if end > 1 else 0
+                    for start in (*range(likely, end), *range(likely - 1, max(-1, end - longest - 1), -1)):
                         token = ids.get(word[start:end])
                         if token is not None:
                             before = last[path[start]]
