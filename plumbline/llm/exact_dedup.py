@@ -153,10 +153,8 @@ def screen(groups: DataFrame, known: Snapshot) -> DataFrame:
 
 def _same_bytes(pairs: DataFrame, docs: DataFrame, known_docs: DataFrame) -> DataFrame:
     """Of pairs (digest, new_id, known_id) those whose normalised texts have the same bytes."""
-    texts = pairs.select("digest", F.col("new_id").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
-    texts = texts.unionByName(
-        pairs.select("digest", F.col("known_id").alias("doc_id")).join(known_docs.select("doc_id", "text"), "doc_id")
-    )
+    side = lambda column, rows: pairs.join(rows.select("doc_id", "text"), F.col(column).eqNullSafe(F.col("doc_id"))).select("digest", "text")
+    texts = side("new_id", docs).unionByName(side("known_id", known_docs))
     texts = texts.select("digest", normalised(body()).alias("norm"))
     # ids that occur more than once may bring other texts along: only texts of this digest count
     texts = texts.where(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
@@ -195,7 +193,7 @@ def exact_dedup(docs: DataFrame, known_docs: DataFrame | None = None) -> DataFra
         "doc_id",
         best["doc_id"].alias("keep_id"),
         F.col("size").alias("group_size"),
-        ((F.col("doc_id") == best["doc_id"]) & (F.col("n_chars") == -best["rank"])).alias("kept"),
+        (F.col("doc_id").eqNullSafe(best["doc_id"]) & (F.col("n_chars") == -best["rank"])).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
