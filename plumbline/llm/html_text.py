@@ -15,6 +15,7 @@ rendered.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,7 +48,7 @@ IN_HEAD = frozenset("head title meta link base script style noscript template ht
 #: Possessive parts keep it linear; where quotes don't pair up, the tag ends at the first ``>``.
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,10000}+\"|'[^']{0,10000}+')*+(?=>)|[^>]*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,10000}+\"|'[^']{0,10000}+'){0,400}+(?=>)|[^>]*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -64,16 +65,34 @@ class Element:
         self.name, self.attributes, self.children = name, attributes or {}, []
 
 
+class _Stack(list):
+    """Open elements, with how many there are of each name, so that a search for none costs nothing."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, element: Element) -> None:
+        self.append(element)
+        self.open[element.name] += 1
+
+    def end(self, k: int) -> None:
+        """End the k-th element and all inside it."""
+        for element in self[k:]:
+            self.open[element.name] -= 1
+        del self[k:]
+
+
 def parse(page: str) -> Element:
     """The element tree of a page, with implied end tags."""
     root = Element("html")
-    stack, at = [root], 0
+    stack, at = _Stack(root), 0
     ends_of: dict[str, re.Pattern] = {}
 
     def add_text(text: str) -> None:
         if text:
             if stack[-1].name == "head" and text.strip():
-                stack.pop()
+                stack.end(len(stack) - 1)
             stack[-1].children.append(text)
 
     while (m := _TAG.search(page, at)) is not None:
@@ -85,7 +104,7 @@ def parse(page: str) -> Element:
             _close(stack, name)
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
+            stack.end(len(stack) - 1)
         if name == "html":
             continue
         attributes = {}
@@ -104,31 +123,31 @@ def parse(page: str) -> Element:
             element.children.append(unescape(text) if name in ("textarea", "title") else text)
             at = end.end() if end else len(page)
         elif name not in VOID:
-            stack.append(element)
+            stack.push(element)
     add_text(unescape(page[at:]))
     return root
 
 
-def _close(stack: list[Element], name: str) -> None:
+def _close(stack: _Stack, name: str) -> None:
     """End the nearest open element of that name and all inside it; cells shield what is outside their table."""
-    for k in range(len(stack) - 1, 0, -1):
+    for k in range(len(stack) - 1, 0, -1) if stack.open[name] else ():
         if stack[k].name == name:
-            del stack[k:]
+            stack.end(k)
             return
         if stack[k].name in ("td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
             return
 
 
-def _end_within(stack: list[Element], names: tuple[str, ...], boundary: tuple[str, ...]) -> None:
+def _end_within(stack: _Stack, names: tuple[str, ...], boundary: tuple[str, ...]) -> None:
     """End the outermost open element among ``names`` that lies inside the nearest ``boundary``."""
     found = None
-    for k in range(len(stack) - 1, 0, -1):
+    for k in range(len(stack) - 1, 0, -1) if any(stack.open[n] for n in names) else ():
         if stack[k].name in names:
             found = k
         elif stack[k].name in boundary:
             break
     if found is not None:
-        del stack[found:]
+        stack.end(found)
 
 
 def hidden(element: Element) -> bool:
