@@ -110,6 +110,45 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES).drop("alias_of")
 
 
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+OP5_SQL = rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM (SELECT DISTINCT url, html FROM pages)
+), hrefs AS (
+  SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')
+  UNION ALL
+  SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b')
+), targets AS (
+  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target
+    WHEN starts_with(target, '/') THEN scheme || '://' || regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) || target END AS target
+  FROM (SELECT *, coalesce(nullif(regexp_extract(url, '(?s)^(.*?)://', 1), ''), 'http') AS scheme FROM hrefs WHERE target <> '')
+), parts(url, host, path, node) AS (
+  SELECT url, host, path, CASE WHEN host <> '' THEN host || path || regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1) END
+  FROM (
+    SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM (SELECT url FROM pages UNION SELECT target FROM targets)
+  )
+), judged AS (
+  SELECT p.url, p.host, p.path, p.node, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.v, length(r.h || r.p)) AS verdict
+  FROM parts p LEFT JOIN (VALUES {_RULE_ROWS}) AS r(v, h, p) ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
+  GROUP BY ALL
+), edges AS (
+  SELECT a.node AS a, b.node AS b FROM targets t JOIN parts a ON t.url = a.url JOIN parts b ON t.target = b.url
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), blocked(node) AS (
+  SELECT DISTINCT node FROM judged WHERE verdict = 'block' AND node IS NOT NULL
+  UNION
+  SELECT e.b FROM blocked JOIN both_ways e ON blocked.node = e.a
+)
+SELECT p.page_id, coalesce(j.host, '') AS host, coalesce(j.path, '') AS path, j.rule, coalesce(j.verdict, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN judged j ON p.url = j.url LEFT JOIN blocked b ON j.node = b.node
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_arrivals(_table(spark, sf_dir, "documents"))
 
@@ -189,4 +228,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op5_url_filters": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL}

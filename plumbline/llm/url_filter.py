@@ -69,7 +69,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 
     Relative targets are completed with the page's scheme and host.
     """
-    targets = F.array(F.regexp_extract(F.col("html"), _LINK, 1), F.regexp_extract(F.col("html"), _REFRESH, 1))
+    targets = F.concat(*(F.regexp_extract_all(F.col("html"), F.lit(p), F.lit(1)) for p in (_LINK, _REFRESH)))
     found = pages.select("url", F.explode(targets).alias("target")).where(F.col("target") != "")
     scheme = F.coalesce(F.nullif(F.regexp_extract("url", r"(?s)^(.*?)://", 1), F.lit("")), F.lit("http"))
     full = (
