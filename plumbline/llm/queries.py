@@ -177,8 +177,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = stored(chat.format_trees(chat.chain(rows), branches=1), "formatted")
     turns = out.withColumn("turns", F.explode(F.array(chat.read_back(F.col("formatted")))))
