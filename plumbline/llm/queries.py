@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, chat, exact_dedup, html_text, jaccard_join, line_dedup, packing, quality, simhash, url_filter
-from plumbline.llm.common import body, stored
+from plumbline.llm.common import cut, stored
 
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -34,23 +34,19 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     have a fingerprint within the search radius; null for the others, which are searched but do not ask."""
     docs = simhash.with_next(_table(spark, sf_dir, "documents"))
     edited = simhash.edited_text(F.col("text"), F.col("next_text"))
-    rows = docs.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = rows.select(
-        "doc_id", "next_id", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited")).alias("kind", "text"),
-    )
-    # rows repeated with one id are told apart by what they hold
-    keys = ["doc_id", "next_id", "n_chars", "sha", "edited_sha256", "kind"]
+    rows = docs.select("block", "pos", "next_block", "next_pos", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    place = ["block", "pos"]
+    keys = [*place, "next_block", "next_pos", "doc_id", "n_chars", "edited_sha256", "kind"]
+    both = rows.select(*keys[:-2], F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "text"))
     prints = stored(simhash.fingerprints(both, keys), "prints")
-    own, edits = prints.where("kind = 0").drop("kind"), prints.where("kind = 1").drop("kind")
-    edits = edits.withColumnRenamed("fingerprint", "edited_fingerprint")
-    out = own.join(edits, keys[:-1])
-    others = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("fingerprint", "sha").alias("next_fingerprint"))
-    out = out.join(others, "next_id", "left")
+    own = prints.where("kind = 0").drop("kind")
+    edits = prints.where("kind = 1").select(*place, F.col("fingerprint").alias("edited_fingerprint"))
+    others = own.select(F.col("block").alias("next_block"), F.col("pos").alias("next_pos"), F.col("fingerprint").alias("next_fingerprint"))
+    out = own.join(edits, place).join(others, ["next_block", "next_pos"])
     asked = own.where("doc_id % 100 = 0")
     near = simhash.near_counts(asked, own)
-    near = asked.select("doc_id", "sha", "fingerprint").distinct().join(near, "fingerprint").select("doc_id", "sha", "n_near")
-    out = out.join(near, ["doc_id", "sha"], "left")
+    near = cut(asked.select(*place, "fingerprint").join(near, "fingerprint").select(*place, "n_near"))
+    out = out.join(near, place, "left")
     f = F.col("fingerprint")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

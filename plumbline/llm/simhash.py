@@ -56,7 +56,8 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
                 out = out.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
         return F.lpad(F.lower(F.hex(out)), 16, "0")
 
-    return counts.select(*keys, F.concat(half(0), half(1)).alias("fingerprint"))
+    voted = F.concat(half(0), half(1))
+    return counts.select(*keys, F.when(F.col("n") > 0, voted).otherwise("0" * (BITS // 4)).alias("fingerprint"))
 
 
 def _part(fingerprint: Column, k: int) -> Column:
@@ -100,29 +101,33 @@ def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) ->
 
 
 def with_next(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """Add ``next_id, next_text``: the document that follows in descending order of id, after the last the first.
+    """Add ``next_text``: that of the document that follows in descending order of id, after the last the first.
 
     Ids are cut into blocks of ``block``, within which a window finds the next row; only the last row of a block
-    looks up the first row of the next block that has any. Rows with one id follow each other by text.
+    looks up the first row of the next block that has any. ``block, pos`` tell rows apart, ``next_block, next_pos``
+    point to the next one. Rows with one id follow each other by text, rows without an id come last in block 0.
     """
     rows = docs.select(F.col("doc_id").cast("long"), body().alias("text"), F.floor(F.coalesce("doc_id", F.lit(0)) / block).alias("block"))
     order = "PARTITION BY block ORDER BY doc_id DESC NULLS LAST, text"
     inner = rows.select(
         "*",
-        F.expr(f"lead(doc_id) OVER ({order})").alias("in_id"),
         F.expr(f"lead(text) OVER ({order})").alias("in_text"),
-        F.expr(f"row_number() OVER ({order}) = count(*) OVER (PARTITION BY block)").alias("is_last"),
-    )
-    heads = cut(rows.groupBy("block").agg(F.min(F.struct((-F.col("doc_id")).alias("rank"), "text")).alias("head")))
+        F.expr(f"row_number() OVER ({order})").alias("pos"),
+        F.expr("count(*) OVER (PARTITION BY block)").alias("rows"),
+    ).withColumn("is_last", F.col("pos") == F.col("rows"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("rank"), "text")
+    heads = cut(rows.groupBy("block").agg(F.min(first).alias("head")))
     # one row per block, so `block` times fewer than documents
     after = heads.select("block", F.expr("lead(block) OVER (ORDER BY block DESC)").alias("next"), F.expr("first(block) OVER (ORDER BY block DESC)").alias("top"))
     after = after.select(F.col("block").alias("of"), F.coalesce("next", "top").alias("block"))
-    heads = after.join(heads, "block").select(F.col("of").alias("block"), (-F.col("head.rank")).alias("out_id"), F.col("head.text").alias("out_text"))
+    heads = after.join(heads, "block").select(F.col("of").alias("block"), F.col("block").alias("out_block"), F.col("head.text").alias("out_text"))
     joined = inner.join(heads.withColumn("is_last", F.lit(True)), ["block", "is_last"], "left")
+    last = F.col("is_last")
     return joined.select(
-        "doc_id", "text",
-        F.when(F.col("is_last"), F.col("out_id")).otherwise(F.col("in_id")).alias("next_id"),
-        F.when(F.col("is_last"), F.col("out_text")).otherwise(F.col("in_text")).alias("next_text"),
+        "doc_id", "text", "block", "pos",
+        F.when(last, F.col("out_block")).otherwise(F.col("block")).alias("next_block"),
+        F.when(last, F.lit(1)).otherwise(F.col("pos") + 1).alias("next_pos"),
+        F.when(last, F.col("out_text")).otherwise(F.col("in_text")).alias("next_text"),
     )
 
 

@@ -29,7 +29,9 @@ def test_search_finds_all_within_the_radius(spark):
 def test_next_document_across_blocks(spark):
     ids = [3, 5, 6, 1023, 1024, 5000, 5001, 9999]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    got = {r.doc_id: (r.next_id, r.next_text) for r in simhash.with_next(df).collect()}
+    rows = simhash.with_next(df).collect()
+    at = {(r.block, r.pos): r.doc_id for r in rows}
+    got = {r.doc_id: (at[r.next_block, r.next_pos], r.next_text) for r in rows}
     order = sorted(ids, reverse=True)
     assert got == {i: (n, f"t{n}") for i, n in zip(order, [*order[1:], order[0]], strict=True)}
 
@@ -50,6 +52,9 @@ def test_query_like_brute_force(spark, tmp_path):
         assert r.n_near == (sum(_bits(r.fingerprint, x.fingerprint) <= simhash.RADIUS for x in got.values()) if i % 100 == 0 else None)
 
 
-def test_edges(spark, odd_docs, no_docs):
+def test_edges(spark, odd_docs, no_docs, tmp_path):
+    odd_docs.unionByName(odd_docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_fingerprints(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * odd_docs.count() and all(r.near_next is not None and r.near_edited is not None for r in rows)
     assert simhash.with_next(odd_docs).count() == odd_docs.count()
     assert simhash.with_next(no_docs).count() == 0
