@@ -33,7 +33,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Chunks and words whose ids a Python worker remembers; at the limit it forgets them all and goes on.
 _CACHE = 300_000
 #: Nodes of a worker's trie; beyond it starts afresh.
-_NODES = 2_000_000
+_NODES = 1_000_000
 _SLICE_CHARS = 1 << 20
 
 

@@ -38,7 +38,8 @@ BANDS, ROWS = 64, 8
 SCREEN, STEP = 128, 16
 #: Documents of a block; a task holds the shingles of two blocks.
 BLOCK = 100
-_CACHE_WORDS = 500_000
+#: Words whose hashes a Python worker remembers during a task.
+_CACHE_WORDS = 120_000
 _VOCABULARY = 8192
 
 _random = np.random.default_rng(20240501)
@@ -122,6 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 else:
                     bands.append(np.zeros(0, np.int64))
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+        _WORD_HASH.clear()
 
     return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
 
@@ -219,6 +221,7 @@ def _members(docs: DataFrame, components: DataFrame, classes: DataFrame) -> Data
             values = [minhash(s, SCREEN).astype("<u2").tobytes() for s in found]
             keep = ["rep", "size", "component", "blocks", "block"]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(values, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], [*keep, "values", "shingles"])
+        _WORD_HASH.clear()
 
     return rows.mapInArrow(run, "rep long, size long, component long, blocks int, block int, values binary, shingles binary")
 

@@ -29,8 +29,8 @@ from plumbline.llm.common import stored
 #: Groups in which ranks are counted: the pieces of one length are dealt into as many as it takes.
 _RANK_GROUPS = 1 << 16
 _RANK_ROWS = 128
-#: Words whose ids a Python worker remembers; at the limit it forgets them all and goes on.
-_CACHE_WORDS = 300_000
+#: Words whose ids a Python worker remembers during a task; at the limit it forgets them all and goes on.
+_CACHE_WORDS = 120_000
 _SLICE_CHARS = 1 << 20
 #: Letters that normalisation only lower-cases, with punctuation behind (no apostrophe: it may join letters).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ſ]+)([.,;:!?#$%&*|]*)")
@@ -56,6 +56,10 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """Free what was remembered; the worker may have other things to do next."""
+        self.cache, self.letters = {"": b""}, {}
+
     def learn(self, words: list[str]) -> None:
         """Remember the ids of distinct chunks.
 
@@ -141,6 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             columns = list(zip(*out, strict=True)) if out else [()] * (5 + with_ids)
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds)], names[: len(columns)])
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

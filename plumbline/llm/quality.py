@@ -36,7 +36,7 @@ THRESHOLD = 0.5
 BELIEFS = np.array([[0.4, 0.4, 0.2], [0.005, 0.5, 0.495]])
 #: Weight of these expectations, as a share of the documents.
 PRIOR_SHARE = 0.5
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 120_000
 _MARKS = "#$%&*|<>{}[]\\^~_=+@"
 _RUN = re.compile(r"(.)\1+")
 #: Frequent function words of the languages that the corpus holds.
