@@ -297,6 +297,12 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with all their columns: those with the least id of each group."""
-    first = jaccard_groups(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """The documents that stay, with all their columns: those with the least id of each group, and rows without an id.
+
+    The ids that go are stored first, so Spark knows how large they are: it broadcasts a small table, and the texts
+    stay where they are; beyond its threshold both sides are shuffled.
+    """
+    stays = F.max(F.col("doc_id") == F.col("class_id"))
+    groups = jaccard_groups(docs, threshold).groupBy("doc_id").agg(stays.alias("stays"))
+    gone = stored(groups.where("NOT stays").select(F.col("doc_id").alias("gone_id")), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

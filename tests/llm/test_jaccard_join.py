@@ -54,7 +54,10 @@ def test_edges(spark, odd_docs, no_docs):
     assert rows[1].n_links == rows[2].n_links == 0 and rows[1].class_id == 1
     assert rows[4].n_links == 1 and rows[6].class_id == rows[5].class_id == 5
     assert jj.jaccard_groups(no_docs).count() == 0
-    assert jj.keep_one(odd_docs).columns == odd_docs.columns
+    kept = jj.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    # 6 is a copy of 5; both rows of 4 stay, and so does the row without an id
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 7, 8, 9, 10]
 
 
 def test_least_matches_is_the_posterior():
