@@ -2,14 +2,15 @@
 
 A tree builder takes the tags in order, adds the end tags that HTML implies (a paragraph ends where a block
 starts, an item where the next one starts, cells, rows and options likewise) and leaves out what is not shown:
-head, scripts, styles, templates, comments, elements that are hidden by attribute or inline style. The tree is
+head, scripts, styles, templates, comments, elements that are hidden by attribute or inline style. Of a drawing (svg) the
+text elements and embedded HTML are shown, set apart by spaces, of a formula (math) all but annotations. The tree is
 then laid out: runs of white space become one space, blocks start on lines of their own, paragraphs, headings, lists and
 tables are set off by blank lines, list items get bullets or numbers and are indented by depth, preformatted text
 keeps its lines, and the cells of a table are padded so that columns line up.
 
 A null or empty page gives the empty text. Broken markup never fails: stray end tags are ignored, open elements end
-with the page, a ``<`` that begins no tag is text. Pages of any length are rendered whole; repeated rows are each
-rendered.
+with the page, a ``<`` that begins no tag is text. A ``>`` inside quotes does not end a tag, however long the quoted
+value and however many there are. Pages of any length are rendered whole; repeated rows are each rendered.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values: element names by their role in HTML ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math datalist audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title iframe object datalist audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset(
@@ -43,14 +44,27 @@ IMPLIED = {
     "body": ("head",),
 }
 BOUNDARY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "optgroup": ("select",)}
+#: Elements of drawings and formulas that are not shown as they stand.
+FOREIGN_UNSEEN = frozenset(
+    "defs symbol clippath mask marker pattern metadata desc lineargradient radialgradient filter "
+    "annotation annotation-xml mphantom".split()
+)
+#: Inside these, HTML goes on; elsewhere in a drawing or formula a tag of ``BREAKS_OUT`` ends it.
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+SPACED_MATH = frozenset("mfrac mroot msub msup msubsup munder mover munderover mtable mtr mmultiscripts".split())
 IN_HEAD = frozenset("head title meta link base script style noscript template html".split())
 
-#: Possessive parts keep it linear; where quotes don't pair up, the tag ends at the first ``>``.
+#: A comment or declaration, or a tag; most tags end within its bounds, the others are left to :func:`_tag_end`.
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,10000}+\"|'[^']{0,10000}+'){0,400}+(?=>)|[^>]*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,200}+\"|'[^']{0,200}+'){0,20}+)(>?)",
     re.S,
 )
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 #: Tables inside tables are laid out to this depth; deeper ones show their text as blocks.
@@ -71,8 +85,14 @@ class _Stack(list):
     def __init__(self, root: Element):
         super().__init__([root])
         self.open: Counter[str] = Counter()
+        self.roots = [0]  # per element: where the drawing or formula around it starts, 0 in HTML
+
+    def foreign(self) -> int:
+        """Where the drawing or formula starts that a new element would belong to, 0 in HTML."""
+        return 0 if self[-1].name in HTML_INSIDE else self.roots[-1]
 
     def push(self, element: Element) -> None:
+        self.roots.append(self.foreign() or (len(self) if element.name in ("svg", "math") else 0))
         self.append(element)
         self.open[element.name] += 1
 
@@ -81,6 +101,27 @@ class _Stack(list):
         for element in self[k:]:
             self.open[element.name] -= 1
         del self[k:]
+        del self.roots[k:]
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the first ``>`` outside quotes is; where quotes don't pair up, the first ``>``; -1 if there is none.
+
+    ``dead`` gathers the quotes of a page that lead to no such end. No quote is followed twice, so all
+    calls for a page together take time in proportion to its length.
+    """
+    start, passed = at, []
+    while (m := _QUOTE_OR_END.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        if m.start() in dead:
+            break
+        passed.append(m.start())
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    dead.update(passed)
+    return page.find(">", start)
 
 
 def parse(page: str) -> Element:
@@ -88,6 +129,7 @@ def parse(page: str) -> Element:
     root = Element("html")
     stack, at = _Stack(root), 0
     ends_of: dict[str, re.Pattern] = {}
+    dead: set[int] = set()
 
     def add_text(text: str) -> None:
         if text:
@@ -96,8 +138,16 @@ def parse(page: str) -> Element:
             stack[-1].children.append(text)
 
     while (m := _TAG.search(page, at)) is not None:
+        end, inside = m.end(), m[3]
+        if m[2] and not m[4]:
+            close = _tag_end(page, m.end(2), dead)
+            if close < 0:  # no tag can follow, and a comment has no end
+                rest = re.compile(r"<[!?]").search(page, m.start())
+                page = page[: rest.start()] if rest else page
+                break
+            end, inside = close + 1, page[m.end(2) : close]
         add_text(unescape(page[at : m.start()]))
-        at, name = m.end(), (m[2] or "").lower()
+        at, name = end, (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
@@ -107,16 +157,25 @@ def parse(page: str) -> Element:
             stack.end(len(stack) - 1)
         if name == "html":
             continue
-        attributes = {}
-        if m[3]:
-            for key, a, b, c in _ATTRIBUTE.findall(m[3]):
-                attributes.setdefault(key.lower(), unescape(a or b or c))
+        if name in BREAKS_OUT and stack.foreign():
+            stack.end(stack.foreign())
+        attributes, bare = {}, 0
+        if inside:
+            for a in _ATTRIBUTE.finditer(inside):
+                attributes.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
+                bare = a.end(4)
         if name in ENDS_PARAGRAPH:
             _end_within(stack, ("p",), ("table", "td", "th", "button", "li", "dd"))
         if name in IMPLIED:
             _end_within(stack, IMPLIED[name], BOUNDARY.get(name, ("table",)))
         element = Element(name, attributes)
         stack[-1].children.append(element)
+        if stack.foreign() or name in ("svg", "math"):
+            if name in FOREIGN_UNSEEN or attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse"):
+                element.attributes["hidden"] = ""
+            # a slash at the end of a value without quotes belongs to the value
+            if inside.endswith("/") and bare != len(inside):
+                continue
         if name in RAW:
             end = ends_of.setdefault(name, re.compile(rf"</{name}\s*/?>", re.I)).search(page, at)
             text = page[at : end.start()] if end else page[at:]
@@ -161,6 +220,24 @@ def hidden(element: Element) -> bool:
     )
 
 
+def shown(element: Element) -> list:
+    """What an element shows: its children, of a drawing its texts, with spaces between the parts of a fraction or the like."""
+    if element.name in SPACED_MATH:
+        return [part for child in element.children for part in (" ", child)][1:]
+    if element.name != "svg":
+        return element.children
+    found, work = [], [*reversed(element.children)]
+    while work:
+        item = work.pop()
+        if isinstance(item, str) or hidden(item):
+            continue
+        if item.name in ("text", "foreignobject"):
+            found += [" ", item, " "]
+        else:
+            work.extend(reversed(item.children))
+    return found
+
+
 class _Layout:
     """Collects lines; text on one line is joined by single spaces."""
 
@@ -230,7 +307,7 @@ def _walk(top: Element, layout: _Layout) -> None:
             after = _enter(item, layout)
             if after:
                 work.append(after)
-            children = item.children
+            children = shown(item)
             if item.name in ("ol", "ul", "menu", "dir"):
                 _number(item)
             work.extend(reversed(children))
@@ -277,7 +354,7 @@ def _plain(element: Element) -> str:
         elif item.name == "br":
             out.append("\n")
         elif not hidden(item):
-            work.extend(reversed(item.children))
+            work.extend(reversed(shown(item)))
     return "".join(out).replace("\r\n", "\n").replace("\r", "\n")
 
 

@@ -34,6 +34,36 @@ def test_hostile_pages_stay_cheap():
     assert render("<p>" + "word " * 100_000).count("word") == 100_000
 
 
+def test_quotes_of_any_length_and_number():
+    for n in (100, 9_000, 11_000, 300_000):
+        assert render(f'<div data-p="{"a " * (n // 2)}<b>secret</b>">shown</div>') == "shown"
+        assert render(f"<p onclick='{'a' * n}>secret' hidden>gone</p>shown") == "shown"
+    for n in (10, 230, 5_000):
+        many = " ".join(f'a{k}="x > {k}"' for k in range(n))
+        assert render(f'<p {many} t="p > q">shown</p>') == "shown"
+    assert render('<p title="open>text') == "text" and render('1 <p title="no end') == '1 <p title="no end'
+    assert render("a <b no end <!-- gone") == "a <b no end"
+    # quotes that pair up to the end of the page and hide every '>' cost no more than the page is long
+    assert render('<a ">"' * 100_000).count('"') == 100_000
+    render("<a \">'" * 100_000)
+    render("<a " * 300_000)
+
+
+DRAWINGS = [
+    ("a<svg><title>t</title><defs><text>no</text></defs><path d='M0'/><text x=1>Sales</text><g><text>20<tspan>24</tspan></text></g></svg>b", "a Sales 2024 b"),
+    ("<svg><defs/><script/><desc>d</desc>loose<text display=none>x</text><foreignObject><p>html</p></foreignObject></svg>", "html"),
+    ("<svg><path d=x/><p>after", "after"),
+    ("<p>If <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math>.", "If x=1 2."),
+    ("<pre>k <svg><text>in pre</text></svg></pre>", "k  in pre"),
+    ("<desc>html</desc>", "html"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), DRAWINGS)
+def test_drawings_and_formulas(page, text):
+    assert render(page) == text
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "<p>a", 0), (2, "<p>a", 0)], "page_id long, html string, text int")
     assert sorted((r.page_id, r.text) for r in extract_text(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
