@@ -1,5 +1,9 @@
+from html import unescape
+from urllib.parse import urljoin
+
 from plumbline.llm import url_filter
 from plumbline.llm.queries import URL_RULES
+from pyspark.sql import functions as F
 
 URLS = [
     (1, "http://shop.example.com/en/a?x=1", "example.com/en/", "block"),
@@ -46,3 +50,41 @@ def test_aliases_carry_blocks_but_not_over_an_allow(spark):
     assert {r.page_id: r.verdict for r in more.collect()}[7] == "block" and more.count() == len(rows)
     assert url_filter.judge_urls(pages.limit(0), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
+
+
+def test_targets_in_every_form(spark):
+    bases = ["http://a.net/b/c/d?q=1#f", "https://a.net", "HTTP://a.net/", "http://a.net/x"]
+    targets = ["page2.html", "?p=2", "../x", "../../../x", "./", ".", "..", "g/./h/../i?y=../z", "/login?next=http://b.net/es/", "x?u=http://b.net/es/#k",
+               "//b.net/p", "/../r/..", "FTP://b.net/../k", "#top", "http:s"]
+    rows = spark.createDataFrame([(t, b) for b in bases for t in targets], "t string, b string")
+    node = lambda u: url_filter.node_of(F.col(u) if isinstance(u, str) else u)
+    got = rows.withColumn("full", url_filter.resolved(F.col("t"), F.col("b"))).withColumn("node", node("full")).collect()
+    wanted = spark.createDataFrame([(r.t, r.b, urljoin(r.b, r.t[5:] if r.t == "http:s" else r.t)) for r in rows.collect()], "t string, b string, u string")
+    wanted = {(r.t, r.b): r.node for r in wanted.withColumn("node", node("u")).collect()}
+    wanted |= {k: None for k in wanted if k[0] == "http:s" and k[1].startswith("https")} | {k: "b.net/../k" for k in wanted if k[0].startswith("FTP")}
+    assert {(r.t, r.b): r.node for r in got} == wanted
+    none = spark.createDataFrame([("mailto:a@b.net", "http://a.net/"), ("x", "no url"), ("x", None)], "t string, b string")
+    assert [r[0] for r in none.select(url_filter.resolved(F.col("t"), F.col("b"))).collect()] == [None] * 3
+
+
+def test_character_references(spark):
+    same = ["a?x=1&amp;y=2", "&#x2F;&#47;&#x1F642;&eacute;&NotEqualTilde;", "&#0;&#xD800;&#99999999999999999999;&#128;", "&unknown;&", "&#&#x;", "a&amp", "", "&amp;amp;"]
+    own = {"?a=1&copy=2&lt=3&notit;": "?a=1&copy=2&lt=3&notit;"}
+    rows = spark.createDataFrame([(t,) for t in [*same, *own]], "t string")
+    assert {r.t: r.d for r in rows.withColumn("d", url_filter.decoded(F.col("t"))).collect()} == {t: unescape(t) for t in same} | own
+
+
+def test_relative_and_encoded_links_carry_blocks(spark):
+    link = lambda u, more="": f'<head>{more}<link rel="canonical" href="{u}"></head>'
+    rows = [
+        (1, "http://a.org/1", link("http://b.net/es/?x=1&amp;y=2")),
+        (2, "http://b.net/es/?x=1&y=2", None),
+        (3, "http://b.net/z/1", link("../es/")),
+        (4, "http://b.net/y/1", '<meta http-equiv=refresh content="0; url=?p=2">'),
+        (5, "http://b.net/y/1?p=2", link("/es/2")),
+        (6, "http://c.org/1", link("/login?next=http://b.net/es/")),
+        (7, "http://d.org/1", link("es/3", "<base href='http://b.net/'>")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, URL_RULES).collect()}
+    assert got == {k: "allow" if k == 6 else "block" for k in range(1, 8)}
