@@ -2,7 +2,7 @@
 
 A snapshot holds one row per distinct digest of the documents it covers, dealt into shards by digest, and one
 binary-fuse filter per shard. A new batch is first grouped by itself. Its distinct digests are then screened
-shard by shard: a negative is certainly new, a positive (nearly always a true one, about one in 256 is not)
+shard by shard, a shard of a large batch in pieces: a negative is certainly new, a positive (nearly always a true one, about one in 256 is not)
 joins the exact bucket of its digest, where the bytes of the two texts are compared.
 
 Texts are equal when they are identical after deleting every space, tab, line feed, vertical tab, form feed
@@ -140,15 +140,27 @@ def snapshot(docs_or_groups: DataFrame) -> Snapshot:
     return Snapshot(buckets, filters, shards)
 
 
+def pieces(groups: DataFrame, known: Snapshot) -> tuple[DataFrame, int]:
+    """The distinct digests of a batch as ``shard, piece, digest``, and how many pieces a shard has.
+
+    A piece has about ``SHARD_KEYS`` digests at most, however large the batch is beside the snapshot.
+    """
+    n = max(1, -(-groups.count() // (SHARD_KEYS * known.shards)))
+    piece = F.pmod(F.xxhash64("digest", F.lit("piece")), F.lit(n)).cast("int")
+    return groups.select(_shard(F.col("digest"), known.shards).alias("shard"), piece.alias("piece"), "digest"), n
+
+
 def screen(groups: DataFrame, known: Snapshot) -> DataFrame:
     """The distinct digests of a batch with ``maybe``: false means that the snapshot surely lacks it."""
+    left, n = pieces(groups, known)
+    filters = known.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("piece"), "filter")
 
     def probe(part: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         hit = in_filter(filters["filter"].iloc[0], _keys(part["digest"])) if len(filters) and len(part) else False
         return part[["digest"]].assign(maybe=hit)
 
-    left = groups.select(_shard(F.col("digest"), known.shards).alias("shard"), "digest").groupBy("shard")
-    return left.cogroup(known.filters.groupBy("shard")).applyInPandas(probe, "digest binary, maybe boolean")
+    keys = ["shard", "piece"]
+    return left.groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInPandas(probe, "digest binary, maybe boolean")
 
 
 def _same_bytes(pairs: DataFrame, docs: DataFrame, known_docs: DataFrame) -> DataFrame:

@@ -32,6 +32,20 @@ def test_known_and_new_batches_share_groups(spark):
     assert {r.keep_id for r in rows if r.doc_id in (0, 50, 1000)} == {1000}  # two spaces: the longest original text
 
 
+def test_a_large_batch_against_a_small_snapshot_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 100)
+    docs = spark.createDataFrame([(0, "text 7")] + [(10**12 + i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    known = exact_dedup.snapshot(docs.where("doc_id = 0"))
+    new = exact_dedup.grouped(exact_dedup.with_digest(docs.where("doc_id > 0")))
+    dealt, n = exact_dedup.pieces(new, known)
+    assert known.shards == 1 and n == 30
+    assert max(r["count"] for r in dealt.groupBy("shard", "piece").count().collect()) < 200
+    rows = exact_dedup.screen(new, known).collect()
+    assert len(rows) == len({bytes(r.digest) for r in rows}) == 3000 and 1 <= sum(r.maybe for r in rows) < 60
+    sizes = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup_arrivals(docs).collect()}
+    assert len(sizes) == 3001 and sizes[0] == sizes[10**12 + 7] == (0, 2) and {s for _, s in sizes.values()} == {1, 2}
+
+
 def test_keep_first_keeps_one_of_each(spark, odd_docs, no_docs):
     kept = exact_dedup.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
