@@ -2,12 +2,13 @@
 
 A window is three consecutive lines of one document. Lines count without the white space at their ends, and
 lines that are blank then are layout, so they belong to no window. Windows are hashed, equal hashes are found
-over the whole corpus, and the first window (least doc_id, then least position) stays. The lines that any
+over the whole corpus, and the first window (least doc_id, then least hash of the text, then least position) stays. The lines that any
 later occurrence covers are merged and removed: overlapping windows make one removed stretch. The earliest
 copy of every line is never removed, because whatever removes a line has an earlier copy of it.
 
 A document with fewer than three lines has no window and stays as it is; so do null texts (null stays null)
-and empty ones. Of repeated rows with one id, all windows have the same place, and the rows stay or go together.
+and empty ones. Of repeated rows with one id and text, all windows have the same place, and the rows stay or go
+together; rows with one id and other texts are documents of their own. Rows without an id come after all others.
 """
 
 from __future__ import annotations
@@ -28,22 +29,27 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(ENDS))
 
 
+def _key() -> Column:
+    """What tells documents apart and orders them; a struct equals another one also where both hold null."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("mark"))
+
+
 def windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id, pos, window``: the MD5 of every run of ``width`` lines, from the ``pos``-th line that isn't blank."""
+    """``key, pos, window``: the MD5 of every run of ``width`` lines, from the ``pos``-th line that isn't blank."""
     lines = F.filter(F.transform(F.split(body(), "\n"), _trimmed), lambda x: x != "")
     # explode() of a one-element array makes Spark compute the lines once instead of once per use
-    rows = docs.select("doc_id", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") >= width)
+    rows = docs.select(_key().alias("key"), F.explode(F.array(lines)).alias("lines")).where(F.size("lines") >= width)
     starts = F.sequence(F.lit(0), F.size("lines") - width)
     hashes = F.transform(starts, lambda i: F.md5(F.array_join(F.slice("lines", i + 1, width), "\n").cast("binary")))
-    return rows.select("doc_id", F.posexplode(hashes).alias("pos", "window")).withColumn("window", F.unhex("window"))
+    return rows.select("key", F.posexplode(hashes).alias("pos", "window")).withColumn("window", F.unhex("window"))
 
 
 def later_windows(found: DataFrame) -> DataFrame:
-    """The windows that repeat an earlier one: ``doc_id, pos``."""
-    first = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    """The windows that repeat an earlier one: ``key, pos``."""
+    first = found.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("first"))
     repeated = cut(first.where("n > 1").select("window", "first"))
-    later = found.join(repeated, "window").where(F.struct("doc_id", "pos") != F.col("first"))
-    return later.select("doc_id", "pos").distinct()
+    later = found.join(repeated, "window").where(F.struct("key", "pos") != F.col("first"))
+    return later.select("key", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -52,7 +58,7 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     ``removed`` lists the stretches taken out as (first, last) among the lines that aren't blank.
     """
     later = later_windows(stored(windows(docs, width), "windows"))
-    starts = later.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+    starts = later.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,5 +88,5 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
     span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
     kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("removed", pa.list_(span))])
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(starts, "doc_id", "left").select("doc_id", "text", "starts")
+    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long"), "text").join(starts, "key", "left").select("doc_id", "text", "starts")
     return rows.mapInArrow(rebuild, "doc_id long, text string, n_lines int, n_removed int, removed array<struct<first:int,last:int>>")

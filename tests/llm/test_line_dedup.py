@@ -28,3 +28,10 @@ def test_edges(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {r.doc_id: r.n_removed for r in rows}[8] == 3
     assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_clashing_and_missing_ids(spark):
+    rows = [(1, "a\nb\nc"), (5, "a\nb\nc"), (5, "x\ny\nz"), (None, "p\nq\nr\ns"), (None, "a\nb\nc\nd"), (None, "p\nq\nr"), (7, "p\nq\nr"), (7, "p\nq\nr")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((r.doc_id or 0, r.text) for r in got)
+    assert left == [(0, ""), (0, "d"), (0, "s"), (1, "a\nb\nc"), (5, ""), (5, "x\ny\nz"), (7, "p\nq\nr"), (7, "p\nq\nr")]
