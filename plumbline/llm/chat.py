@@ -8,7 +8,8 @@ The template marks a turn as ``<|im_start|>role``, line feed, text, ``<|im_end|>
 roles and texts are doubled, and a control string in them gets one backslash after its first character, so
 that none is left; both are undone exactly. A line feed inside a role is written as ``<|nl|>``.
 
-Null text and null role count as empty. A message whose parent is missing is a root. Messages that lie on
+Null text and null role count as empty. Messages without a conv_id are one conversation, whose conv_id is null. A
+message without a message_id answers like any other, but nothing can answer it: it is a leaf, whose leaf_id is null. A message whose parent is missing is a root. Messages that lie on
 a cycle have no leaf and give no path. Rows repeated with one id are separate messages: a flat table orders
 ties of ``turn`` by role and text. An empty table gives an empty result.
 """
@@ -48,8 +49,18 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message_id", parent.alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """The same with structs as ids, which equal each other also where they hold null; messages without an id are numbered."""
+    order = W.partitionBy("conv_id").orderBy("parent_id", "role", "text", "score")
+    rows = messages.where("message_id IS NOT NULL").withColumn("nth", F.lit(0))
+    rows = rows.unionByName(messages.where("message_id IS NULL").withColumn("nth", F.row_number().over(order)))
+    of = lambda name, nth: F.struct(F.col(name).alias("message_id"), nth.alias("nth"))
+    parent = F.when(F.col("parent_id").isNotNull(), of("parent_id", F.lit(0)))
+    return rows.select(F.struct("conv_id").alias("conv_id"), of("message_id", F.col("nth")).alias("message_id"), parent.alias("parent_id"), "role", "text", "score")
+
+
 def paths(messages: DataFrame) -> DataFrame:
-    """Root-to-leaf paths: ``conv_id, leaf_id, up, message_id`` with ``up`` steps from the leaf."""
+    """Root-to-leaf paths: ``conv_id, leaf_id, up, message_id`` with ``up`` steps from the leaf; ids as :func:`_keyed` makes them."""
     links = cut(messages.select("conv_id", "message_id", "parent_id"))
     known = links.select("conv_id", F.col("message_id").alias("parent_id")).distinct()
     links = cut(links.join(known.withColumn("has_parent", F.lit(True)), ["conv_id", "parent_id"], "left").select(
@@ -76,7 +87,7 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     branches of a conversation to keep (all if None). ``loss_spans`` are the (start, length) in code points, from
     0, of the assistant's texts in ``formatted``.
     """
-    messages = messages.select("conv_id", "message_id", "parent_id", body("role").alias("role"), body("text").alias("text"), "score")
+    messages = _keyed(messages.select("conv_id", "message_id", "parent_id", body("role").alias("role"), body("text").alias("text"), "score"))
     on_path = paths(messages).join(messages.select("conv_id", "message_id", "role", "text", "score"), ["conv_id", "message_id"])
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
     turn = F.struct(
@@ -99,7 +110,7 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     )
     spans = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(f"{END}\n"))), "")
-    return whole.select("conv_id", "leaf_id", "rank", "score", text.alias("formatted"), spans.alias("loss_spans"))
+    return whole.select("conv_id.conv_id", F.col("leaf_id.message_id").alias("leaf_id"), "rank", "score", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -43,3 +43,17 @@ def test_flat_table_with_nulls_and_ties(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("leaf_id", F.lit(1)).withColumn("up", F.lit(2))
     r = chat.format_trees(chat.chain(df), branches=1).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
     assert len(r) == 1 and [(t.role, t.text) for t in r[0].turns] == [("user", "first"), ("user", ""), ("user", ""), ("", "x"), ("assistant", "y")]
+
+
+def test_messages_without_ids(spark):
+    flat = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = chat.format_trees(chat.chain(flat), branches=1).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert {r.conv_id: [t.text for t in r.turns] for r in got} == {None: ["q", "a"], 1: ["x"]}
+    messages = [
+        (None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "a", 1.0), (None, None, 1, "assistant", "b", 0.5),
+        (None, None, 2, "user", "c", 0.5), (5, None, None, "user", "alone", 1.0), (5, 1, None, "user", "one", 0.0),
+    ]
+    tree = spark.createDataFrame(messages, "conv_id long, message_id long, parent_id long, role string, text string, score double")
+    got = chat.format_trees(tree).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    said = sorted((r.conv_id or 0, r.leaf_id or 0, "".join(t.text for t in r.turns)) for r in got)
+    assert said == [(0, 0, "qac"), (0, 0, "qb"), (5, 0, "alone"), (5, 1, "one")]
