@@ -7,117 +7,129 @@ matters for that, so the plan is made from a histogram with at most ``capacity``
 placements; every piece then finds its place by its rank among the pieces of its length.
 
 Null counts as the empty text. A document is the ids of its text and the closing id, so an empty one has
-length 1. Only documents over the capacity are cut. Ties in length are ordered by a hash of id and piece, then
-the id; rows repeated with one id are packed like any other. An empty table gives an empty result.
+length 1. Only documents over the capacity are cut. Which of several pieces of one length goes where is not fixed; rows
+repeated with one id, or without an id, are packed like any other. Columns beside doc_id and text are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe import byte_letters
 from plumbline.llm.common import stored
 
 #: Groups in which ranks are counted: the pieces of one length are dealt into as many as it takes.
 _RANK_GROUPS = 1 << 16
 _RANK_ROWS = 128
-#: Words whose ids a Python worker remembers during a task; at the limit it forgets them all and goes on.
-_CACHE_WORDS = 120_000
-_SLICE_CHARS = 1 << 20
-#: Letters that normalisation only lower-cases, with punctuation behind (no apostrophe: it may join letters).
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ſ]+)([.,;:!?#$%&*|]*)")
+_ROW = "__row"
+#: The normaliser and splitter that :class:`WordIds` carries out itself, as tokenizers files state them.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for texts without :data:`_OTHER` characters: of those that ``\w`` has, only these are neither letters nor 0-9.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+#: Characters that Python and the library may class differently, and the zero byte, which marks the end of a word.
+_OTHER = re.compile(r"[^\x01-\x1b\x20-\u0557\u2010-\u2027\u4e00-\u9fa5]")
+#: Words over this go to the library, whose merging takes no quadratic time.
+_WORD_CHARS = 400
+
+
+@lru_cache
+def merges_alone(path: str) -> bool:
+    """Whether the ids of a word depend on nothing but which strings the vocabulary has, in which order.
+
+    That is so if every token is what its own letters are merged into: a pair of neighbours whose letters make up a token
+    is then always the pair that this token is merged from.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if (
+        (spec.get("normalizer") or {}).get("normalizers") != _NORMALIZER
+        or split[0].get("pattern") != {"Regex": _SPLITTER}
+        or [x.get("type") for x in split] != ["Split", "ByteLevel"]
+        or model["type"] != "BPE"
+        or model.get("end_of_word_suffix") != "</w>"
+        or model.get("ignore_merges")
+    ):
+        return False
+    pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    rank = {pair: k for k, pair in enumerate(pairs)}
+    for a, b in pairs:
+        ends = b.endswith("</w>")
+        parts = list(a + (b[:-4] if ends else b))
+        parts[-1] += "</w>" * ends
+        while len(parts) > 1:
+            best, at = min((rank.get(pair, len(rank)), k) for k, pair in enumerate(zip(parts, parts[1:])))
+            if best == len(rank):
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, which sees each distinct space-separated chunk once.
+    """Ids of whole texts, as the tokenizers library gives them.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of its chunks
-    in a row. A text with a special token's string in it goes to the library whole.
+    The vocabulary lower-cases, drops white space and merges within words only. Where ``direct`` says that its merges
+    need no more than an order of strings (see :func:`merges_alone`), tiktoken merges the words, each with a zero byte for its end; a
+    text with a special token's string, with characters of less common scripts, not in normal form or with a
+    very long word goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, direct: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the vocabulary's model for words that need no normalising or splitting
-        self.model = Tokenizer(self.tokenizer.model)
-        split, letters = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([split, letters])
-        self.letters: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def forget(self) -> None:
-        """Free what was remembered; the worker may have other things to do next."""
-        self.cache, self.letters = {"": b""}, {}
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of distinct chunks.
-
-        Most are Latin letters with punctuation behind, which pre-tokenisation parts; so case and punctuation
-        are taken off and the letters, as far as they are new, go to the vocabulary's model together.
-        """
-        if len(self.letters) > _CACHE_WORDS:
-            self.letters = {}
-        parted = [(w, _PLAIN.fullmatch(w)) for w in words]
-        rest = [w for w, m in parted if m is None]
-        plain = [(w, m[1].lower(), m[2]) for w, m in parted if m is not None]
-        new = list({core for _, core, _ in plain}.difference(self.letters))
-        if new:
-            self._ids_of(self.model.encode(" ".join(new), add_special_tokens=False), new, self.letters)
-        rest = list({*rest, *(tail for _, _, tail in plain if tail)}.difference(self.cache))
-        if rest:
-            self._ids_of(self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False), rest, self.cache)
-        letters, cache = self.letters, self.cache
-        for word, core, tail in plain:
-            cache[word] = letters[core] + cache[tail]
-
-    @staticmethod
-    def _ids_of(found, words: list[str], known: dict[str, bytes]) -> None:
-        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)), "right") * 4
-        raw, start = np.array(found.ids, "<u4").tobytes(), 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            known[word] = raw[start:end]
-            start = end
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of every text, a bounded slice of texts at a time."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= _SLICE_CHARS):
-                size += len(texts[end])
-                end += 1
-            chunks = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts[at:end]]
-            if len(self.cache) > _CACHE_WORDS:
-                self.cache = {"": b""}
-            new = set().union(*(c for c in chunks if c)).difference(self.cache)
-            if new:
-                self.learn(list(new))
-            find = self.cache.__getitem__
-            for text, words in zip(texts[at:end], chunks, strict=True):
-                if words is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(find, words))
-            at = end
+        self.merger = self._merger(path) if direct else None
+
+    def _merger(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters, vocabulary = byte_letters(), model["vocab"]
+        raw = lambda token: bytes(letters[c] for c in token.removesuffix("</w>")) + b"\0" * token.endswith("</w>")
+        pairs = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+        # a zero byte ends a word and joins the byte before it first of all
+        singles = [(bytes([b]), vocabulary.get(c, 0)) for c, b in letters.items()]
+        closing = [(bytes([b, 0]), vocabulary.get(f"{c}</w>", 0)) for c, b in letters.items() if b]
+        known = dict([*singles, *closing, *((raw(t), vocabulary[t]) for t in pairs)])
+        self.ids = np.array(list(known.values()), "<u4")
+        return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks={b: k for k, b in enumerate(known)}, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        if self.merger and not (any(s in text for s in self.special) or _OTHER.search(text)) and is_normalized("NFC", text):
+            # the library lower-cases letter by letter, without a final sigma
+            words = _WORD.findall(text.replace("Σ", "σ").lower())
+            if not words:
+                return b""
+            if len(max(words, key=len)) <= _WORD_CHARS:
+                found = self.merger.encode_to_numpy("\0".join(words) + "\0", disallowed_special=())
+                return self.ids[found].tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, direct: bool) -> WordIds:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
+        _TOKENIZERS[path] = WordIds(path, direct)
     return _TOKENIZERS[path]
 
 
@@ -128,15 +140,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     closing = np.array([end_id], "<u4").tobytes()
-    step = capacity * 4
+    step, direct = capacity * 4, merges_alone(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(tokenizer)
+        encode = _word_ids(tokenizer, direct)
         for batch in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                raw += closing
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = encode(text or "") + closing
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
@@ -145,7 +156,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             columns = list(zip(*out, strict=True)) if out else [()] * (5 + with_ids)
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, kinds)], names[: len(columns)])
-        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -224,20 +234,23 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Add ``rank``, the place of a piece among those of its length, without gathering a length in one task."""
+    """Add ``rank``, the place of a piece among those of its length, without gathering a length in one task.
+
+    ``pieces`` is a stored table with the number of every row, so equal rows are dealt out like others.
+    """
     spark = pieces.sparkSession
     rows = max(_RANK_ROWS, sum(histogram.values()) // _RANK_GROUPS)
     dealt = spark.createDataFrame([(n, -(-c // rows)) for n, c in histogram.items()], "length long, groups long")
     # at most `capacity` rows
     salted = pieces.join(F.broadcast(dealt), "length").withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups"))
+        "salt", F.pmod(F.xxhash64(_ROW), F.col("groups"))
     )
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("rows"))
     before = sizes.select(
         "length", "salt", F.expr("sum(rows) OVER (PARTITION BY length ORDER BY salt) - rows AS before")
     )  # at most _RANK_GROUPS + capacity rows, whatever the input
     within = salted.withColumn(
-        "within", F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32)")
+        "within", F.expr(f"row_number() OVER (PARTITION BY length, salt ORDER BY {_ROW})")
     )
     out = within.join(F.broadcast(before), ["length", "salt"])
     return out.withColumn("rank", F.col("before") + F.col("within") - 1).select(*pieces.columns, "rank")
@@ -248,11 +261,11 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
     ``pieces`` (from :func:`token_pieces`) must be the same rows each time it is read, so it is stored first.
     """
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.withColumn(_ROW, F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows
     runs = plan(histogram, capacity)
     starts = runs[:, 0] << 44 | runs[:, 1]
-    names = pieces.columns
+    names = [n for n in pieces.columns if n != _ROW]
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,5 +276,5 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             offset = run[:, 4] + within % run[:, 2] * length
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != _ROW)
     return ranked(pieces, histogram).mapInArrow(locate, f"{fields}, sequence_id long, offset long")

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -70,3 +71,61 @@ def test_ids_and_edges(spark, odd_docs, no_docs):
     assert all(r.length == len(r.ids) for r in rows)
     assert sorted(r.length for r in rows if r.doc_id in (1, 2, 3)) == [1, 1, 1]
     assert sum(r.doc_id == 4 for r in rows) == 2
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(4, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=80))))
+def test_plan_fills_like_best_fit_piece_by_piece(case):
+    capacity, lengths = case
+    large, small = sorted(n for n in lengths if 3 * n > capacity), sorted((n for n in lengths if 3 * n <= capacity), reverse=True)
+    gaps = []
+    while large:
+        gap = capacity - large.pop()
+        partner = max((k for k, n in enumerate(large) if n <= gap), default=None)
+        gaps.append(gap - (0 if partner is None else large.pop(partner)))
+    for n in small:
+        fits = [g for g in gaps if g >= n]
+        best = min(fits, default=capacity)
+        if fits:
+            gaps.remove(best)
+        gaps.append(best - n)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)) if lengths else {}
+    assert sorted(capacity - sum(n for _, n in placed) for placed in _sequences(histogram, capacity).values()) == sorted(gaps)
+
+
+def test_every_direct_character_like_the_library():
+    assert packing.merges_alone(PATH)
+    words, tokenizer = packing.WordIds(PATH, True), Tokenizer.from_file(PATH)
+    texts = [f"a{c}b {c}1{c} '{c}s {c}." for c in map(chr, [*range(1, 0x600), *range(0x2000, 0x2040), *range(0x3000, 0x3010), 0x4E00, 0x9FA5, 0x1F642])]
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert words(text) == np.array(found.ids, "<u4").tobytes(), ascii(text)
+
+
+_BITS = st.sampled_from(["the ", "ing", "'s", "'LL ", "don't", "Straße", "ſ", "Σ", "ΟΔΟΣ", "İ", "é", "é", " ", "\x85", "\x1c", "\x00", "²", "¾", "_", "__", "3.14", "…", "“x”", "日本", "я", "\n\t", "<|endoftext|>", "🙂", "x" * 500])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(_BITS, st.text(max_size=6)), max_size=12).map("".join))
+def test_ids_of_hostile_texts_like_the_library(text):
+    assert _WORDS(text) == np.array(_TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_WORDS, _TOKENIZER = packing.WordIds(PATH, True), Tokenizer.from_file(PATH)
+
+
+def test_another_vocabulary_goes_to_the_library(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    assert not packing.merges_alone(str(tmp_path / "other.json"))
+    words = packing.WordIds(str(tmp_path / "other.json"), False)
+    text = "Some Words, in CASE"
+    assert words(text) == np.array(Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_equal_rows_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"))
+    rows = packing.pack(packing.token_pieces(docs, PATH)).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3000
