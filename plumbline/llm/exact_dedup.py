@@ -1,7 +1,7 @@
 """Exact deduplication against immutable snapshots screened by static binary-fuse filters.
 
 A snapshot holds one row per distinct digest of the documents it covers, dealt into shards by digest, and one
-binary-fuse filter per shard. A new batch is first grouped by itself. Its distinct digests are then screened
+binary-fuse filter per shard; it can be saved and loaded. A new batch is first grouped by itself. Its distinct digests are then screened
 shard by shard, a shard of a large batch in pieces: a negative is certainly new, a positive (nearly always a true one, about one in 256 is not)
 joins the exact bucket of its digest, where the bytes of the two texts are compared.
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import body, cut, stored
@@ -38,6 +38,17 @@ class Snapshot:
     filters: DataFrame
     shards: int
 
+    def save(self, path: str) -> None:
+        """Write the snapshot to a folder that must not exist yet: it never changes afterwards."""
+        self.buckets.write.parquet(f"{path}/buckets")
+        self.filters.withColumn("shards", F.lit(self.shards)).write.parquet(f"{path}/filters")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Snapshot:
+        filters = spark.read.parquet(f"{path}/filters")
+        some = filters.select("shards").first()
+        return Snapshot(spark.read.parquet(f"{path}/buckets"), filters.drop("shards"), some["shards"] if some else 1)
+
 
 def normalised(text: Column) -> Column:
     return F.translate(text, BLANK, "")
@@ -174,32 +185,27 @@ def _same_bytes(pairs: DataFrame, docs: DataFrame, known_docs: DataFrame) -> Dat
     return same.where("low = high").select("digest")
 
 
-def exact_dedup(docs: DataFrame, known_docs: DataFrame | None = None) -> DataFrame:
-    """Group a batch by equal text, within itself and with the documents of an earlier snapshot.
-
-    Returns a row for every row of both: ``doc_id, keep_id, group_size, kept, text_sha256``.
-    """
+def _grouped_rows(docs: DataFrame, known_docs: DataFrame | None, known: Snapshot | None = None) -> DataFrame:
+    """What :func:`exact_dedup` returns, and ``n_chars``."""
     digests = stored(with_digest(docs), "digests")
     new = cut(grouped(digests))
     if known_docs is None:
-        merged = new.select("digest", "size", "best")
+        merged, keys = new, ["digest"]
     else:
         known_digests = stored(with_digest(known_docs), "digests")
-        known = snapshot(grouped(known_digests))
+        known = known or snapshot(grouped(known_digests))
         positive = screen(new, known).where("maybe").select("digest")
         pairs = cut(
-            positive.join(new, "digest")
-            .join(known.buckets.select("digest", F.col("best").alias("known_best")), "digest")
-            .select("digest", F.col("best.doc_id").alias("new_id"), F.col("known_best.doc_id").alias("known_id"))
+            positive.join(new.withColumnRenamed("best", "new_best").withColumnRenamed("size", "new_size"), "digest")
+            .join(known.buckets.withColumnRenamed("best", "known_best").withColumnRenamed("size", "known_size"), "digest")
         )
-        common = _same_bytes(pairs, docs, known_docs).withColumn("common", F.lit(True))
+        same = _same_bytes(pairs.select("digest", F.col("new_best.doc_id").alias("new_id"), F.col("known_best.doc_id").alias("known_id")), docs, known_docs)
+        # only digests that both sides have need merging; one without equal bytes would be a collision of SHA-256: its sides stay apart
+        common = cut(pairs.join(same, "digest").select("digest", (F.col("new_size") + F.col("known_size")).alias("all"), F.least("new_best", "known_best").alias("first")))
         sides = new.withColumn("known", F.lit(False)).unionByName(known.buckets.withColumn("known", F.lit(True)))
-        # a digest in both without equal bytes would be a collision of SHA-256: its two sides stay apart
-        both = sides.join(common, "digest", "left").withColumn("side", F.when(F.col("common"), 0).otherwise(F.col("known").cast("int")))
-        sums = both.groupBy("digest", "side").agg(F.sum("size").alias("size"), F.min("best").alias("best"), F.collect_set("known").alias("of"))
-        merged = cut(sums.select("digest", "size", "best", F.explode("of").alias("known")))
+        merged = sides.join(common, "digest", "left").select("digest", "known", F.coalesce("all", "size").alias("size"), F.coalesce("first", "best").alias("best"))
         digests = digests.withColumn("known", F.lit(False)).unionByName(known_digests.withColumn("known", F.lit(True)))
-    keys = ["digest", "known"] if known_docs is not None else ["digest"]
+        keys = ["digest", "known"]
     best = F.col("best")
     return digests.join(merged, keys).select(
         "doc_id",
@@ -207,24 +213,47 @@ def exact_dedup(docs: DataFrame, known_docs: DataFrame | None = None) -> DataFra
         F.col("size").alias("group_size"),
         (F.col("doc_id").eqNullSafe(best["doc_id"]) & (F.col("n_chars") == -best["rank"])).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "n_chars",
     )
 
 
-def dedup_arrivals(docs: DataFrame) -> DataFrame:
-    """:func:`exact_dedup` of one table that arrived in two halves by ``doc_id``: the older half is the snapshot.
+def exact_dedup(docs: DataFrame, known_docs: DataFrame | None = None, known: Snapshot | None = None) -> DataFrame:
+    """Group a batch by equal text, within itself and with the documents of an earlier snapshot.
 
-    Every row of both halves is read, compared and reported; a null id belongs to the newer half.
+    ``known`` is the snapshot of ``known_docs`` where there is one already. Returns a row for every row of both:
+    ``doc_id, keep_id, group_size, kept, text_sha256``.
     """
+    return _grouped_rows(docs, known_docs, known).drop("n_chars")
+
+
+def _halves(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The newer half of a table by ``doc_id``, to which rows without an id belong, and the older half if there is one."""
     ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if ends[0] is None:
-        return exact_dedup(docs)
+        return docs, None
     older = F.coalesce(F.col("doc_id") <= F.lit((ends[0] + ends[1]) // 2), F.lit(False))
-    return exact_dedup(docs.where(~older), docs.where(older))
+    return docs.where(~older), docs.where(older)
+
+
+def dedup_arrivals(docs: DataFrame) -> DataFrame:
+    """:func:`exact_dedup` of one table that arrived in two halves by ``doc_id``: the older half is the snapshot.
+
+    Every row of both halves is read, compared and reported; a null id belongs to the newer half.
+    """
+    return exact_dedup(*_halves(docs))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: one row of every group of equal texts."""
-    kept = dedup_arrivals(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("__sha", F.sha2(normalised(body()), 256))
-    same = (marked["doc_id"].eqNullSafe(kept["doc_id"])) & (marked["__sha"] == kept["text_sha256"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    """The documents that stay, with all their columns: one row of every group of equal texts.
+
+    Of rows of one group with the same id and length, any one stays.
+    """
+    kept = _grouped_rows(*_halves(docs)).where("kept").groupBy("doc_id", "text_sha256", "n_chars").count()
+    kept = stored(kept.select(*(F.col(c).alias(f"__{c}") for c in kept.columns)), "kept")
+    marked = docs.withColumn("__sha", F.sha2(normalised(body()), 256)).withColumn("__chars", F.length(body()))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__sha") == F.col("__text_sha256")) & (F.col("__chars") == F.col("__n_chars"))
+    once = marked.join(kept.where("__count = 1"), same, "left_semi")
+    more = kept.where("__count > 1")
+    if not more.isEmpty():
+        once = once.unionByName(marked.join(more, same, "left_semi").dropDuplicates(["doc_id", "__sha"]))
+    return once.drop("__sha", "__chars")

@@ -54,6 +54,23 @@ def test_keep_first_keeps_one_of_each(spark, odd_docs, no_docs):
     assert exact_dedup.dedup_arrivals(no_docs).count() == 0
 
 
+def test_keep_first_like_brute_force_on_clashing_ids(spark):
+    rows = [(1, "a"), (1, "a "), (1, " a"), (2, "a"), (3, None), (3, ""), (None, "b"), (None, "b"), (4, "b"), (5, "c d"), (5, "cd"), (6, "cd  "), (7, "x"), (7, "y")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = defaultdict(list)
+    for r in kept:
+        left[re.sub(r"\s", "", r.text or "")].append((r.doc_id, len(r.text or "")))
+    assert left == {"a": [(1, 2)], "": [(3, 0)], "b": [(None, 1)], "cd": [(6, 4)], "x": [(7, 1)], "y": [(7, 1)]}
+
+
+def test_a_saved_snapshot_screens_like_a_fresh_one(spark, tmp_path):
+    known = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    new = spark.createDataFrame([(1000 + i, f"text {i}") for i in range(200, 400)], "doc_id long, text string")
+    exact_dedup.snapshot(known).save(f"{tmp_path}/one")
+    loaded = exact_dedup.Snapshot.load(spark, f"{tmp_path}/one")
+    assert sorted(exact_dedup.exact_dedup(new, known, loaded).collect()) == sorted(exact_dedup.exact_dedup(new, known).collect())
+
+
 def test_filter_has_no_false_negatives():
     for n in (0, 1, 2, 3, 10, 1000, 50_000):
         keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
