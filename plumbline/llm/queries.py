@@ -34,15 +34,15 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     have a fingerprint within the search radius; null for the others, which are searched but do not ask."""
     docs = simhash.with_next(_table(spark, sf_dir, "documents"))
     edited = simhash.edited_text(F.col("text"), F.col("next_text"))
-    rows = docs.select("block", "pos", "next_block", "next_pos", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    place = ["block", "pos"]
-    keys = [*place, "next_block", "next_pos", "doc_id", "n_chars", "edited_sha256", "kind"]
+    rows = docs.select("range", "pos", "next_range", "next_pos", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    place = ["range", "pos"]
+    keys = [*place, "next_range", "next_pos", "doc_id", "n_chars", "edited_sha256", "kind"]
     both = rows.select(*keys[:-2], F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "text"))
     prints = stored(simhash.fingerprints(both, keys), "prints")
     own = prints.where("kind = 0").drop("kind")
     edits = prints.where("kind = 1").select(*place, F.col("fingerprint").alias("edited_fingerprint"))
-    others = own.select(F.col("block").alias("next_block"), F.col("pos").alias("next_pos"), F.col("fingerprint").alias("next_fingerprint"))
-    out = own.join(edits, place).join(others, ["next_block", "next_pos"])
+    others = own.select(F.col("range").alias("next_range"), F.col("pos").alias("next_pos"), F.col("fingerprint").alias("next_fingerprint"))
+    out = own.join(edits, place).join(others, ["next_range", "next_pos"])
     asked = own.where("doc_id % 100 = 0")
     near = simhash.near_counts(asked, own)
     near = cut(asked.select(*place, "fingerprint").join(near, "fingerprint").select(*place, "n_near"))

@@ -4,7 +4,8 @@ Terms are pairs of neighbouring words (runs without white space; the first word
 text), weighted by how often they occur. Each occurrence votes with the bits of a 128-bit hash of its term, and
 the fingerprint has a one where more than half of the votes are ones: 32 hexadecimal digits. Pairs are used
 because single function words make all texts of a language alike. A text without words, like null, has no votes
-and the fingerprint zero. Equal texts have equal fingerprints.
+and the fingerprint zero. Equal texts have equal fingerprints. Rows repeated with one id, rows without an id and texts of
+any length are handled like others, further columns are ignored; an empty table gives an empty result.
 
 Votes are counted two bits to a long, 32 bits each, which no text can overflow. All votes of a text are cast in
 the task that holds it, so a shuffle carries one row per text.
@@ -16,6 +17,8 @@ table that does. Copies share a fingerprint and count as one entry with a number
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -30,6 +33,8 @@ _MASK = (1 << 32) | 1
 _SEEDS = (1, 2)
 _SPACE = r"[\s]+"
 BLOCKS, RADIUS = 8, 6
+#: Ranges of ids in which neighbours are looked for; their bounds travel in the plan.
+MAX_RANGES = 1 << 14
 
 
 def _votes(term: Column) -> list[Column]:
@@ -100,32 +105,50 @@ def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) ->
     return close.groupBy("fingerprint").agg(F.sum("documents").alias("n_near"))
 
 
-def with_next(docs: DataFrame, block: int = 1024) -> DataFrame:
+def _range_of(at: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` lie below ``at``: found in two steps, each over about a square root of them."""
+    fan = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + fan] for k in range(0, len(cuts), fan)]
+    count = lambda found: F.size(F.filter(found, lambda c: c < at))
+    ends = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
+    return F.element_at(F.transform(F.array(count(ends)), lambda g: g * fan + count(F.element_at(inner, g + 1))), 1)
+
+
+def with_next(docs: DataFrame, rows_per_range: int = 2_000) -> DataFrame:
     """Add ``next_text``: that of the document that follows in descending order of id, after the last the first.
 
-    Ids are cut into blocks of ``block``, within which a window finds the next row; only the last row of a block
-    looks up the first row of the next block that has any. ``block, pos`` tell rows apart, ``next_block, next_pos``
-    point to the next one. Rows with one id follow each other by text, rows without an id come last in block 0.
+    Ids are cut at their quantiles into ranges of about ``rows_per_range`` rows (at most ``MAX_RANGES`` ranges), however
+    they are spread, and a window finds the next row within a range; only the last row of a range looks up the first row of
+    the next one. ``range, pos`` tell rows apart, ``next_range, next_pos`` point to the next one. Rows with one id share a
+    range and follow each other by text; rows without an id come last, in ranges of their own by a hash of the text.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), body().alias("text"), F.floor(F.coalesce("doc_id", F.lit(0)) / block).alias("block"))
-    order = "PARTITION BY block ORDER BY doc_id DESC NULLS LAST, text"
+    rows = docs.select(F.col("doc_id").cast("long"), body().alias("text")).withColumn("at", F.coalesce(F.bitwise_not("doc_id"), F.xxhash64("text")))
+    size = rows.count()
+    ranges = min(MAX_RANGES, max(1, -(-size // rows_per_range)))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = rows.where("doc_id IS NOT NULL").agg(F.percentile_approx("at", shares, 10 * ranges)).first()[0] if shares else None
+    cuts = sorted(set(cuts or []))
+    own = F.when(F.col("doc_id").isNotNull(), _range_of(F.col("at"), cuts)).otherwise(F.lit(len(cuts) + 1) + F.pmod("at", F.lit(ranges)).cast("int"))
+    rows = rows.withColumn("range", own)
+    order = "PARTITION BY range ORDER BY at, text"
     inner = rows.select(
         "*",
         F.expr(f"lead(text) OVER ({order})").alias("in_text"),
         F.expr(f"row_number() OVER ({order})").alias("pos"),
-        F.expr("count(*) OVER (PARTITION BY block)").alias("rows"),
+        F.expr("count(*) OVER (PARTITION BY range)").alias("rows"),
     ).withColumn("is_last", F.col("pos") == F.col("rows"))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("rank"), "text")
-    heads = cut(rows.groupBy("block").agg(F.min(first).alias("head")))
-    # one row per block, so `block` times fewer than documents
-    after = heads.select("block", F.expr("lead(block) OVER (ORDER BY block DESC)").alias("next"), F.expr("first(block) OVER (ORDER BY block DESC)").alias("top"))
-    after = after.select(F.col("block").alias("of"), F.coalesce("next", "top").alias("block"))
-    heads = after.join(heads, "block").select(F.col("of").alias("block"), F.col("block").alias("out_block"), F.col("head.text").alias("out_text"))
-    joined = inner.join(heads.withColumn("is_last", F.lit(True)), ["block", "is_last"], "left")
+    # at most 2 * MAX_RANGES rows in all that follows
+    least = F.broadcast(cut(rows.groupBy("range").agg(F.min("at").alias("at"))))
+    heads = cut(rows.join(least, ["range", "at"]).groupBy("range").agg(F.min("text").alias("head")))
+    after = heads.select("range", F.expr("lead(range) OVER (ORDER BY range)").alias("next"), F.expr("first(range) OVER (ORDER BY range)").alias("top"))
+    after = after.select(F.col("range").alias("of"), F.coalesce("next", "top").alias("range"))
+    heads = after.join(heads, "range").select(F.col("of").alias("range"), F.col("range").alias("out_range"), F.col("head").alias("out_text"))
+    joined = inner.join(heads.withColumn("is_last", F.lit(True)), ["range", "is_last"], "left")
     last = F.col("is_last")
     return joined.select(
-        "doc_id", "text", "block", "pos",
-        F.when(last, F.col("out_block")).otherwise(F.col("block")).alias("next_block"),
+        "doc_id", "text", "range", "pos",
+        F.when(last, F.col("out_range")).otherwise(F.col("range")).alias("next_range"),
         F.when(last, F.lit(1)).otherwise(F.col("pos") + 1).alias("next_pos"),
         F.when(last, F.col("out_text")).otherwise(F.col("in_text")).alias("next_text"),
     )

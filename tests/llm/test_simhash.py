@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from hashlib import sha256
 
 from plumbline.llm import queries, simhash
@@ -26,14 +27,29 @@ def test_search_finds_all_within_the_radius(spark):
     assert got == {p: sum(_bits(p, q) <= simhash.RADIUS for q in prints) for p in asked}
 
 
-def test_next_document_across_blocks(spark):
-    ids = [3, 5, 6, 1023, 1024, 5000, 5001, 9999]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    rows = simhash.with_next(df).collect()
-    at = {(r.block, r.pos): r.doc_id for r in rows}
-    got = {r.doc_id: (at[r.next_block, r.next_pos], r.next_text) for r in rows}
-    order = sorted(ids, reverse=True)
-    assert got == {i: (n, f"t{n}") for i, n in zip(order, [*order[1:], order[0]], strict=True)}
+def test_next_document_across_ranges(spark):
+    rng = random.Random(8)
+    for ids in ([3, 5, 6, 1023, 1024, 5000, 5001, 9999], [rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)], [*range(100), *(1 << k for k in range(7, 63))]):
+        df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+        rows = simhash.with_next(df, rows_per_range=3).collect()
+        at = {(r.range, r.pos): r.doc_id for r in rows}
+        got = {r.doc_id: (at[r.next_range, r.next_pos], r.next_text) for r in rows}
+        order = sorted(ids, reverse=True)
+        assert got == {i: (n, f"t{n}") for i, n in zip(order, [*order[1:], order[0]], strict=True)}
+        assert len(at) == len(ids) and max(Counter(r.range for r in rows).values()) < 12
+
+
+def test_next_document_of_rows_without_and_with_one_id(spark):
+    rows = [(None, f"n{k}") for k in range(30)] + [(4, f"same{k}") for k in range(10)] + [(4, "same0"), (9, "top"), (1, "low")]
+    got = simhash.with_next(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_range=5).collect()
+    next_of = {(r.range, r.pos): (r.next_range, r.next_pos) for r in got}
+    text = {(r.range, r.pos): (r.doc_id, r.text) for r in got}
+    at, seen = next(k for k, v in text.items() if v == (9, "top")), []
+    for _ in rows:
+        seen.append(text[at])
+        at = next_of[at]
+    assert text[at] == (9, "top") and sorted(seen, key=repr) == sorted(rows, key=repr)
+    assert seen[:13] == [(9, "top"), (4, "same0"), (4, "same0"), *((4, f"same{k}") for k in range(1, 10)), (1, "low")]
 
 
 def test_query_like_brute_force(spark, tmp_path):
