@@ -108,9 +108,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_NO_LINKS = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\b|$)" for t in ("script", "style", "template", "noscript", "textarea", "title", "xmp"))
 OP5_SQL = rf"""
 WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM (SELECT DISTINCT url, html FROM pages)
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^<>]*>')) AS tag
+  FROM (SELECT DISTINCT url, regexp_replace(html, '{_NO_LINKS}', ' ', 'g') AS html FROM pages)
 ), hrefs AS (
   SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
   WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b')

@@ -8,7 +8,9 @@ allow takes precedence: it protects the url it fits, whatever its aliases are.
 The host runs from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path from
 there up to ``?``, ``#`` or the end. A null url or one without ``://`` has an empty host and path, fits no rule
 and is allowed. Targets of links are decoded (character references) and resolved against the page's url in any
-form: absolute, or relative to its scheme, host, path or query. Rows with the same url share a verdict; repeated rows are each reported.
+form: absolute, or relative to its scheme, host, path or query. Links in comments, scripts, styles, templates and the like
+don't count, nor does a tag with a ``<`` in it. Rows with the same url share a verdict; repeated rows are each reported. Pages of any length are searched
+whole; a page without html or url has no links. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ Rule = tuple[str, str, str]
 MAX_RULES = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
-_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_LINK = r"(?is)<link\b(?=[^<>]*\brel\s*=\s*[\"']?canonical\b)[^<>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_REFRESH = r"(?is)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^<>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What holds no links of the page: comments, scripts, styles and the like, to their end or that of the page.
+_NO_LINKS = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea|title|xmp)\b.*?(?:</\1\b|$)"
+_BASE = r"(?is)<base\b[^<>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 #: Character references as attributes have them: a name without its semicolon counts only where no = or letter follows.
 _REFERENCE = r"(?s)(&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]*+(?:;|(?![=a-zA-Z0-9]))|[^&]++|&)"
 _NAMED = "\x02".join(f"&{name}\x01{text}" for name, text in html5.items())
@@ -145,8 +149,11 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 
     Targets are decoded and resolved against the page's url, or against its ``<base>`` if it has one.
     """
+    # few pages have any such element, so the others are not searched
+    some = pages.select("url", "html").where(F.col("html").rlike(r"(?is)<link\b[^<>]*canonical|<meta\b[^<>]*refresh"))
+    some = some.select("url", F.explode(F.array(F.regexp_replace("html", _NO_LINKS, " "))).alias("html"))
     targets = F.concat(*(F.regexp_extract_all(F.col("html"), F.lit(p), F.lit(1)) for p in (_LINK, _REFRESH)))
-    found = pages.select("url", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(targets).alias("target")).where(F.col("target") != "")
+    found = some.select("url", F.regexp_extract("html", _BASE, 1).alias("base"), F.explode(targets).alias("target")).where(F.col("target") != "")
     url, base = F.col("url"), F.col("base")
     base = F.when(base != "", _let(base, lambda b: resolved(decoded(b), url)))
     full = _let(F.coalesce(base, url), lambda b: resolved(decoded(F.col("target")), b))

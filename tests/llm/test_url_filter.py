@@ -88,3 +88,43 @@ def test_relative_and_encoded_links_carry_blocks(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, URL_RULES).collect()}
     assert got == {k: "allow" if k == 6 else "block" for k in range(1, 8)}
+
+
+def _pages_with_edges():
+    """Chains, a hub, an allowed alias, commented links, clashing columns: (page_id, url, html)."""
+    link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head>'
+    rows = [(k, f"http://chain.org/{k}", link(f"http://chain.org/{k + 1}")) for k in range(150)] + [(150, "http://chain.org/150", link("http://x.net/es/"))]
+    rows += [(1000 + k, f"https://leaf{k}.org/", link("//hub.org/")) for k in range(200)] + [(1200, "http://hub.org/", link("http://s.net/fr/1"))]
+    rows += [(2000, "http://www.example.com/en/1", link("http://chain.org/3")), (2001, "http://example.com/en/2", link("/en/3"))]
+    rows += [
+        (3000, "http://a.org/1", '<!-- <link rel="canonical" href="http://x.net/es/"> --><p>'),
+        (3001, "http://a.org/2", '<script>"<link rel=canonical href=http://x.net/es/>"</script>'),
+        (3002, "http://a.org/3", '<!-- <link rel="canonical" href="http://x.net/es/">'),
+        (3003, "http://a.org/4", '<style>a{}</style><link rel="canonical" href="http://x.net/es/">'),
+        (3004, None, link("http://x.net/es/")), (3005, "http://a.org/5", None), (3005, "http://a.org/5", None),
+    ]
+    return rows
+
+
+def test_query_and_sql_on_pages_with_edges(spark, tmp_path):
+    import duckdb
+    from plumbline.llm import queries
+
+    pages = spark.createDataFrame(_pages_with_edges(), "page_id long, url string, html string")
+    for name in ("host", "path", "node", "best", "component", "a", "target"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op5_url_filters(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT page_id, url, html FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    wanted = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.OP5_SQL})").fetchall()
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    verdict = {r[0]: r[4] for r in got}
+    assert {verdict[k] for k in (*range(151), *range(1000, 1201), 2001, 3003)} == {"block"}
+    assert {verdict[k] for k in (2000, 3000, 3001, 3002, 3004, 3005)} == {"allow"}
+
+
+def test_hostile_pages_are_searched_in_linear_time(spark):
+    rows = [(1, "http://a.org/", "<link rel " * 300_000), (2, "http://b.org/", "<!-- " * 300_000 + "<meta refresh>"), (3, "http://c.org/", "<script " * 200_000 + "<link canonical>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge_urls(pages, URL_RULES).collect()} == {"allow"}
