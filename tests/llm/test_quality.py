@@ -46,3 +46,34 @@ def test_edges(spark, odd_docs, no_docs):
     assert all(r.keep for r in rows if not (r.text or "").strip())
     assert len({r.quality for r in rows if r.doc_id == 4}) == 1
     assert quality.score_quality(no_docs).count() == 0
+
+
+def test_against_the_labels(spark):
+    """Held-out labels of sf0.01, which training never sees."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "label")
+    rows = quality.score_quality(docs).join(labels, "doc_id").collect()
+    clean, junk = [r for r in rows if r.label == 1], [r for r in rows if r.label == 0]
+    assert len(clean) > 300 and len(junk) > 20
+    above = np.mean([c.quality > j.quality for c in clean for j in junk])
+    assert above > 0.99
+    assert np.mean([r.keep for r in clean]) > 0.99 and np.mean([r.keep for r in junk]) < 0.15
+
+
+def test_sample_survives_missing_constant_and_repeated_ids(spark):
+    rng = random.Random(3)
+    kinds = [rng.choice([0, 0, 0, 1, 2]) for _ in range(600)]
+    texts = [_text(rng, k) for k in kinds]
+    for ids in ([None] * 600, [7] * 600):
+        rows = [*zip(ids, texts, strict=True), *[(ids[0], texts[0])] * 600]
+        got = {r.text: r.keep for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), sample_rows=300).collect()}
+        assert np.mean([got[t] == (k == 0) for t, k in zip(texts, kinds, strict=True)]) > 0.95
+    one = spark.createDataFrame([(1, CLEAN[0])] * 500, "doc_id long, text string")
+    assert len({r.quality for r in quality.score_quality(one, sample_rows=2).collect()}) == 1
+
+
+def test_long_words_are_read_whole(spark):
+    assert quality.pieces(["ab", "x" * 45]) == ["ab", "x" * 20, "x" * 20, "x" * 5] and quality.pieces([]) == []
+    weights = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    score = lambda text: sum(weights[f] for w in quality.pieces([text]) for f in quality.word_features(w))
+    assert score("a" * 200 + "###" * 50) != score("a" * 200 + "bcd" * 50)
