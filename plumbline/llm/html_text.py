@@ -2,15 +2,19 @@
 
 A tree builder takes the tags in order, adds the end tags that HTML implies (a paragraph ends where a block
 starts, an item where the next one starts, cells, rows and options likewise) and leaves out what is not shown:
-head, scripts, styles, templates, comments, elements that are hidden by attribute or inline style. Of a drawing (svg) the
+head, scripts, styles, templates, comments, elements that are hidden by attribute, by inline style or by the page's own style
+sheets, as far as their selectors name an element, classes and ids (no combinators, no external sheets). What is
+``visibility: hidden`` shows no text, but what is made visible inside it does. Of a drawing (svg) the
 text elements and embedded HTML are shown, set apart by spaces, of a formula (math) all but annotations. The tree is
 then laid out: runs of white space become one space, blocks start on lines of their own, paragraphs, headings, lists and
 tables are set off by blank lines, list items get bullets or numbers and are indented by depth, preformatted text
-keeps its lines, and the cells of a table are padded so that columns line up.
+keeps its lines, line breaks in a row leave blank lines, and the cells of a table are padded so that columns line up; a
+cell that spans several rows keeps its columns in all of them.
 
 A null or empty page gives the empty text. Broken markup never fails: stray end tags are ignored, open elements end
 with the page, a ``<`` that begins no tag is text. A ``>`` inside quotes does not end a tag, however long the quoted
-value and however many there are. Pages of any length are rendered whole; repeated rows are each rendered.
+value and however many there are. Pages of any length are rendered whole; repeated rows are each rendered, further columns
+are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +70,10 @@ _TAG = re.compile(
 )
 _QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_NAME = re.compile(r"[.#][\w-]+")
+_SHOWN_ON = re.compile(r"\s*(?:@media\s+)?(?:(?:only\s+)?screen|all)?\s*", re.I)
 #: Tables inside tables are laid out to this depth; deeper ones show their text as blocks.
 _TABLES = 20
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -130,6 +137,8 @@ def parse(page: str) -> Element:
     stack, at = _Stack(root), 0
     ends_of: dict[str, re.Pattern] = {}
     dead: set[int] = set()
+    sheets: list[str] = []
+    styled = False
 
     def add_text(text: str) -> None:
         if text:
@@ -169,6 +178,7 @@ def parse(page: str) -> Element:
         if name in IMPLIED:
             _end_within(stack, IMPLIED[name], BOUNDARY.get(name, ("table",)))
         element = Element(name, attributes)
+        styled = styled or "style" in attributes
         stack[-1].children.append(element)
         if stack.foreign() or name in ("svg", "math"):
             if name in FOREIGN_UNSEEN or attributes.get("display") == "none" or attributes.get("visibility") in ("hidden", "collapse"):
@@ -179,11 +189,15 @@ def parse(page: str) -> Element:
         if name in RAW:
             end = ends_of.setdefault(name, re.compile(rf"</{name}\s*/?>", re.I)).search(page, at)
             text = page[at : end.start()] if end else page[at:]
+            if name == "style" and _SHOWN_ON.fullmatch(attributes.get("media", "")):
+                sheets.append(text)
             element.children.append(unescape(text) if name in ("textarea", "title") else text)
             at = end.end() if end else len(page)
         elif name not in VOID:
             stack.push(element)
     add_text(unescape(page[at:]))
+    if styled or sheets:
+        _styled(root, _Sheet(sheets))
     return root
 
 
@@ -216,10 +230,74 @@ def hidden(element: Element) -> bool:
         or "hidden" in a
         or (element.name == "input" and a.get("type", "").lower() == "hidden")
         or (element.name == "dialog" and "open" not in a)
-        or bool("style" in a and _HIDING.search(a["style"]))
+        or "\0none" in a
     )
 
 
+class _Sheet:
+    """Declarations of display and visibility in the style sheets of a page, by what their selectors name."""
+
+    def __init__(self, texts: list[str]):
+        #: by element name, class or id, the rarest part of a selector: (all its parts, specificity, order, declarations)
+        self.rules: dict[str, list[tuple]] = {}
+        self.count = 0
+        for text in texts:
+            self._read(re.sub(r"/\*.*?(?:\*/|\Z)", "", text, flags=re.S))
+
+    def _read(self, text: str) -> None:
+        open_blocks: list[str] = []
+        before = ""
+        for part in re.split(r"([{}])", text):
+            if part == "{":
+                open_blocks.append(before.rsplit(";", 1)[-1].strip())
+            elif part == "}":
+                selectors = open_blocks.pop() if open_blocks else ""
+                if not selectors.startswith("@") and all(b.startswith("@") and _SHOWN_ON.fullmatch(b) for b in open_blocks):
+                    self._add(selectors, _STYLE.findall(before))
+            before = part if part not in "{}" else ""
+
+    def _add(self, selectors: str, declared: list[tuple[str, str, str]]) -> None:
+        for selector in selectors.split(",") if declared else ():
+            m = _SELECTOR.fullmatch(selector.strip())
+            if m and m[0]:
+                names = _NAME.findall(m[2])
+                parts = {*names, *([m[1].lower()] if m[1] and m[1] != "*" else [])}
+                ids = sum(n[0] == "#" for n in names)
+                self.count += 1
+                rule = (parts, (ids, len(names) - ids, len(parts) - len(set(names))), self.count, declared)
+                self.rules.setdefault(next((n for k in "#." for n in names if n[0] == k), (m[1] or "").lower()), []).append(rule)
+
+    def style(self, element: Element) -> dict[str, str]:
+        """What holds for an element of its own: its inline style and the rules that fit it."""
+        a = element.attributes
+        inline = _STYLE.findall(a["style"]) if "style" in a else []
+        found = [((bool(i), (9,)), name.lower(), value.lower()) for name, value, i in inline]
+        if self.rules:
+            own = {element.name, *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if a.get("id") else [])}
+            for key in (*own, "*"):
+                for parts, weight, order, declared in self.rules.get(key, ()):
+                    if parts <= own:
+                        found += [((bool(i), (0, *weight, order)), name.lower(), value.lower()) for name, value, i in declared]
+        return {name: value for _, name, value in sorted(found, key=lambda x: x[0])}
+
+
+def _styled(root: Element, sheet: _Sheet) -> None:
+    """Mark what is not displayed and take out the texts that are not visible."""
+    work = [(root, True)]
+    while work:
+        element, visible = work.pop()
+        style = sheet.style(element) if sheet.rules or "style" in element.attributes else {}
+        if style.get("display") == "none":
+            element.attributes["\0none"] = ""
+            continue
+        if "visibility" in style:
+            visible = {"visible": True, "hidden": False, "collapse": False}.get(style["visibility"], visible)
+        if not visible:
+            element.attributes["\0unseen"] = ""
+            element.children = [c for c in element.children if not isinstance(c, str)]
+        work.extend((c, visible) for c in element.children if not isinstance(c, str))
+
+
 def shown(element: Element) -> list:
     """What an element shows: its children, of a drawing its texts, with spaces between the parts of a fraction or the like."""
     if element.name in SPACED_MATH:
@@ -246,6 +324,7 @@ class _Layout:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = False  # a blank line is due before the next line
+        self.breaks = 0  # so many blank lines are, from line breaks
         self.indent, self.marker = "", ""
 
     def end_line(self) -> None:
@@ -255,9 +334,9 @@ class _Layout:
             self.put(text)
 
     def put(self, text: str) -> None:
-        if self.gap and self.lines:
-            self.lines.append("")
-        self.gap = False
+        if self.lines:
+            self.lines.extend([""] * max(self.gap, self.breaks))
+        self.gap, self.breaks = False, 0
         if self.marker:
             self.lines.append(f"{self.indent[: -len(self.marker)]}{self.marker}{text}".rstrip(" "))
             self.marker = ""
@@ -298,10 +377,15 @@ def _walk(top: Element, layout: _Layout) -> None:
             layout.space()
         elif item.name == "br":
             text = "".join(layout.line)
-            layout.end_line() if text.strip() else layout.line.clear()
-        elif item.name == "hr":
+            if text.strip() or layout.marker:
+                layout.end_line()
+            else:
+                layout.line.clear()
+                layout.breaks += 1
+        elif item.name == "hr" and not hidden(item):
             layout.space()
-            layout.put("---")
+            if "\0unseen" not in item.attributes:
+                layout.put("---")
             layout.space()
         elif not hidden(item):
             after = _enter(item, layout)
@@ -330,7 +414,7 @@ def _enter(element: Element, layout: _Layout):
     nested = name in ("ul", "ol", "menu", "dir") and layout.indent != ""
     layout.space() if name in SPACED and not nested else layout.end_line()
     indent, marker = layout.indent, element.attributes.get("\0marker", "- " if name == "li" else "")
-    if marker:
+    if marker and "\0unseen" not in element.attributes:
         layout.indent, layout.marker = indent + " " * len(marker), marker
     elif name in ("blockquote", "dd"):
         layout.indent = indent + "    "
@@ -360,54 +444,75 @@ def _plain(element: Element) -> str:
 
 def _table_lines(table: Element, depth: int) -> list[str]:
     """The rows of a table with padded columns; several lines in a cell stay in its column."""
-    captions, rows, work = [], [], [*reversed(table.children)]
-    loose: list = []
+    captions: list[str] = []
+    loose: list[str] = []
+    rows: list[list[tuple[int, int, list[str]]]] = []  # of cells: first column, columns, lines
+    taken: dict[int, int] = {}  # columns that cells above reach into, and for how many rows
+    work: list = [*reversed(table.children)]
     while work:
         item = work.pop()
-        if isinstance(item, str):
+        if item is None:  # cells do not reach beyond their group of rows
+            taken = {}
+        elif isinstance(item, str):
             loose.append(item)
         elif hidden(item):
             continue
         elif item.name == "tr":
-            row = []
+            row, column, reach = [], 0, {}
             for cell in item.children:
                 if isinstance(cell, str):
                     loose.append(cell)
                 elif cell.name in ("td", "th") and not hidden(cell):
                     inner = _Layout(depth)
                     _walk_children(cell, inner)
-                    span = cell.attributes.get("colspan", "1")
-                    row.append((inner.lines, int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1))
+                    wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
+                    while taken.get(column):
+                        column += 1
+                    row.append((column, wide, inner.lines))
+                    reach.update(dict.fromkeys(range(column, column + wide), deep - 1))
+                    column += wide
                 elif not hidden(cell) and cell.name not in ("td", "th"):
                     loose.append(_plain(cell))
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n for c, n in reach.items() if n}
             if row:
                 rows.append(row)
         elif item.name in ("thead", "tbody", "tfoot"):
+            work.append(None)
             work.extend(reversed(item.children))
+            work.append(None)
         elif item.name == "caption":
             captions.append(_BLANK.sub(" ", _plain(item)).strip())
         else:
             loose.append(_plain(item) + " ")
     widths: list[int] = []
     for row in rows:
-        column = 0
-        for lines, span in row:
-            widths.extend([0] * (column + span - len(widths)))
-            if span == 1:
+        for column, wide, lines in row:
+            widths.extend([0] * (column + wide - len(widths)))
+            if wide == 1:
                 widths[column] = max(widths[column], max(map(len, lines), default=0))
-            column += span
+    starts = [0]
+    for width in widths:
+        starts.append(starts[-1] + width + 2)
     out = [line for line in (*captions, _BLANK.sub(" ", "".join(loose)).strip()) if line]
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            column, text = 0, ""
-            for lines, span in row:
-                part = lines[k] if k < len(lines) else ""
-                text += part.ljust(sum(widths[column : column + span]) + 2 * (span - 1)) + "  "
-                column += span
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            text = ""
+            for column, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    text = text.ljust(starts[column]) if len(text) + 2 <= starts[column] or not text else text + "  "
+                    text += lines[k]
             out.append(text.rstrip(" "))
     return out
 
 
+def _span(cell: Element, name: str) -> int:
+    """How many columns or rows a cell takes; 0 rows mean all that are left of its group."""
+    span = cell.attributes.get(name, "1")
+    if name == "rowspan" and span == "0":
+        return 1 << 16
+    return int(span) if re.fullmatch(r"[1-9]\d{0,4}", span) and (name == "rowspan" or len(span) < 4) else 1
+
+
 def _walk_children(cell: Element, layout: _Layout) -> None:
     body = Element("div")
     body.children = cell.children

@@ -1,4 +1,5 @@
 import pytest
+from plumbline.llm import html_text
 from plumbline.llm.html_text import extract_text, render
 
 CASES = [
@@ -68,3 +69,64 @@ def test_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "<p>a", 0), (2, "<p>a", 0)], "page_id long, html string, text int")
     assert sorted((r.page_id, r.text) for r in extract_text(df).collect()) == [(1, ""), (2, "a"), (2, "a")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_cells_over_several_rows_keep_their_columns():
+    page = "<table><tr><td rowspan=2>aaaa<td>b<tr><td>c<tr><td>d<td>e</table>"
+    assert html_text.render(page).split("\n") == ["aaaa  b", "      c", "d     e"]
+    page = "<table><tbody><tr><td rowspan=0>x<td>y<tr><td>z</tbody><tbody><tr><td>u<td colspan=2>v w<tr><td>1<td>2<td>3</table>"
+    assert html_text.render(page).split("\n") == ["x  y", "   z", "u  v w", "1  2  3"]
+
+
+def test_tables_like_a_grid_filled_cell_by_cell():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = [[(f"c{r}{k}" + "x" * rng.randrange(4), rng.choice([1, 1, 2]), rng.choice([1, 1, 2, 3])) for k in range(rng.randrange(1, 5))] for r in range(rng.randrange(1, 6))]
+        taken, starts = set(), {}
+        for r, row in enumerate(rows):
+            column = 0
+            for text, wide, deep in row:
+                while (r, column) in taken:
+                    column += 1
+                starts[text, r] = column
+                taken |= {(r + i, column + j) for i in range(deep) for j in range(wide)}
+                column += wide
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={d}>{t}" for t, w, d in row) for row in rows) + "</table>"
+        lines = html_text.render(page).split("\n")
+        widths = {}
+        for r, row in enumerate(rows):
+            for text, wide, _ in row:
+                if wide == 1:
+                    widths[starts[text, r]] = max(widths.get(starts[text, r], 0), len(text))
+        assert len(lines) == len(rows)
+        for r, row in enumerate(rows):
+            end = 0
+            for text, _, _ in row:
+                at = sum(widths.get(c, 0) + 2 for c in range(starts[text, r]))
+                assert lines[r].index(text) == (at if end + 2 <= at or not end else end + 2)
+                end = lines[r].index(text) + len(text)
+
+
+def test_style_sheets_and_visibility():
+    style = "<style>/* .a{} */ .x{display:none} p#y , em.q.r{ display : none } .v{visibility:hidden} @media print{.z{display:none}} @media screen{.s{display:none}} b.k{display:none} #n .m{display:none} .i{display:none!important}</style>"
+    page = style + (
+        "<div class='o x'>1</div><p id=y>2</p><p id=w>3</p><em class=q>4</em><em class='r q'>5</em><div class=v>6<i style='visibility:visible'>7</i></div>"
+        "<div class=z>8</div><div class=s>9</div><b class=k style='display:inline'>A</b><div id=n><i class=m>B</i></div><u class=i style='display:inline'>C</u>"
+    )
+    assert "".join(html_text.render(page).split()) == "3478AB"
+    assert html_text.render("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>") == "- b"
+    assert html_text.render("<style media=print>p{display:none}</style><p>a<style>p{display:none}") == ""
+    assert html_text.render("<p>a<style>{}} .x{ p{") == "a"
+
+
+def test_line_breaks_leave_blank_lines():
+    assert html_text.render("a<br>b<br><br>c<br> <br><br>d<br><p>e") == "a\nb\n\nc\n\n\nd\n\ne"
+    assert html_text.render("<br><br>a<br><br>") == "a"
+
+
+def test_extra_columns_and_empty_table(spark):
+    rows = spark.createDataFrame([(1, "<p>a", "z"), (1, "<p>a", "z"), (None, None, None)], "page_id long, html string, text string")
+    assert sorted((r.page_id or 0, r.text) for r in html_text.extract_text(rows).collect()) == [(0, ""), (1, "a"), (1, "a")]
+    assert html_text.extract_text(rows.limit(0)).count() == 0
