@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,16 @@ def body(column: str | Column = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in local mode) a temporary folder takes its place.
+    Only in local mode, where one machine is all there is, a temporary folder takes its place if the session names none;
+    elsewhere that is an error, as every machine would write to a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
