@@ -48,6 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)  # the result is read from there until the driver ends
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
