@@ -1,17 +1,21 @@
 """Chat formatting of reply trees, in DataFrame operations only.
 
-Messages form trees by ``parent_id``. Iterative self-joins climb from every leaf to its root, one level a round,
-so each root-to-leaf path is found once; branches are ranked by the mean score of their messages, then by length,
-then by leaf id, and each chosen path becomes one conversation.
+Messages form trees by ``parent_id``. Self-joins enumerate every root-to-leaf path by doubling: a round joins the
+links to ancestors 1, 2, 4, ... levels up with themselves, then each leaf's known part of the path with one of them, so
+a path of n messages takes about log2(n) rounds of both kinds. Branches are ranked by the mean score of their messages
+(to nine digits), then by length, then by leaf id; the texts join only the chosen paths, each of which becomes one conversation.
 
 The template marks a turn as ``<|im_start|>role``, line feed, text, ``<|im_end|>``, line feed. Backslashes in
 roles and texts are doubled, and a control string in them gets one backslash after its first character, so
 that none is left; both are undone exactly. A line feed inside a role is written as ``<|nl|>``.
 
-Null text and null role count as empty. Messages without a conv_id are one conversation, whose conv_id is null. A
-message without a message_id answers like any other, but nothing can answer it: it is a leaf, whose leaf_id is null. A message whose parent is missing is a root. Messages that lie on
-a cycle have no leaf and give no path. Rows repeated with one id are separate messages: a flat table orders
-ties of ``turn`` by role and text. An empty table gives an empty result.
+Null text and null role count as empty; a missing score counts for nothing in the mean, and branches without any
+come last. Messages without a conv_id are one conversation, whose conv_id is null. A message without a message_id answers
+like any other, but nothing can answer it: it is a leaf, whose leaf_id is null. A message whose parent is missing is a
+root. Messages on a cycle, and those whose ancestors lead into one, give no path. Rows repeated with one id are separate
+messages: replies belong to the first of them by parent_id and score (then by a hash of role and text), so the others are leaves. A flat table
+orders ties of ``turn`` by role and text. Further columns are ignored. An empty table gives an empty result. A
+conversation becomes one row, so it must fit into one.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import body, cut
+from plumbline.llm.common import body, cut, stored
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 #: Strings that some chat template gives a meaning. "<|" begins all of this template's own.
@@ -49,35 +53,39 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message_id", parent.alias("parent_id"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def _keyed(messages: DataFrame) -> DataFrame:
-    """The same with structs as ids, which equal each other also where they hold null; messages without an id are numbered."""
-    order = W.partitionBy("conv_id").orderBy("parent_id", "role", "text", "score")
-    rows = messages.where("message_id IS NOT NULL").withColumn("nth", F.lit(0))
-    rows = rows.unionByName(messages.where("message_id IS NULL").withColumn("nth", F.row_number().over(order)))
-    of = lambda name, nth: F.struct(F.col(name).alias("message_id"), nth.alias("nth"))
-    parent = F.when(F.col("parent_id").isNotNull(), of("parent_id", F.lit(0)))
-    return rows.select(F.struct("conv_id").alias("conv_id"), of("message_id", F.col("nth")).alias("message_id"), parent.alias("parent_id"), "role", "text", "score")
-
-
-def paths(messages: DataFrame) -> DataFrame:
-    """Root-to-leaf paths: ``conv_id, leaf_id, up, message_id`` with ``up`` steps from the leaf; ids as :func:`_keyed` makes them."""
-    links = cut(messages.select("conv_id", "message_id", "parent_id"))
-    known = links.select("conv_id", F.col("message_id").alias("parent_id")).distinct()
-    links = cut(links.join(known.withColumn("has_parent", F.lit(True)), ["conv_id", "parent_id"], "left").select(
-        "conv_id", "message_id", F.when(F.col("has_parent"), F.col("parent_id")).alias("parent_id")))
-    parents = links.where("parent_id IS NOT NULL").select("conv_id", F.col("parent_id").alias("message_id")).distinct()
-    leaves = links.join(parents, ["conv_id", "message_id"], "left_anti")
-    front = cut(leaves.select("conv_id", F.col("message_id").alias("leaf_id"), F.lit(0).alias("up"), "message_id", "parent_id"))
-    above = links.select("conv_id", F.col("message_id").alias("next_id"), F.col("parent_id").alias("next_parent"))
-    steps = []
-    while not front.isEmpty():
-        steps.append(front.select("conv_id", "leaf_id", "up", "message_id"))
-        climb = front.where("parent_id IS NOT NULL").withColumnRenamed("parent_id", "next_id")
-        front = cut(climb.join(above, ["conv_id", "next_id"]).select(
-            "conv_id", "leaf_id", (F.col("up") + 1).alias("up"), F.col("next_id").alias("message_id"), F.col("next_parent").alias("parent_id")))
-    if not steps:
-        return front.select("conv_id", "leaf_id", "up", "message_id")
-    return reduce(DataFrame.unionByName, steps)
+def _numbered(messages: DataFrame) -> DataFrame:
+    """The messages as a stored table in which ``row`` tells them apart."""
+    rows = messages.select("conv_id", "message_id", "parent_id", body("role").alias("role"), body("text").alias("text"), F.col("score").cast("double").alias("score"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "messages")
+
+
+def _links(numbered: DataFrame) -> DataFrame:
+    """``conv_id, message_id, row, parent, score`` with ``parent``, the row of the message answered, or null; no texts."""
+    order = F.struct("parent_id", "score", F.xxhash64("role", "text").alias("mark"), "row")
+    rows = numbered.select("conv_id", "message_id", "parent_id", "row", "score")
+    known = numbered.where("message_id IS NOT NULL").groupBy(F.col("conv_id").alias("of"), F.col("message_id").alias("answered")).agg(F.min(order)["row"].alias("parent"))
+    found = rows.join(known, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("parent_id") == F.col("answered")), "left")
+    return found.select("conv_id", "message_id", "row", "parent", "score")
+
+
+def paths(numbered: DataFrame) -> DataFrame:
+    """Root-to-leaf paths: ``leaf, conv_id, leaf_id, up, row, score``, a row per message, ``up`` steps from the leaf."""
+    links = stored(_links(numbered), "links")
+    size, jumps = links.count(), []
+    above = links.select(F.col("row").alias("to"), F.col("score").alias("to_score"))
+    jump = stored(links.where("parent IS NOT NULL").select("row", F.col("parent").alias("to")).join(above, "to").select("row", "to", "to_score"), "jump")
+    while not jump.isEmpty() and 1 << len(jumps) <= size:
+        jumps.append(jump)
+        further = jump.select(F.col("row").alias("to"), F.col("to").alias("next"), F.col("to_score").alias("next_score"))
+        jump = stored(jump.select("row", "to").join(further, "to").select("row", F.col("next").alias("to"), F.col("next_score").alias("to_score")), "jump")
+    leaves = links.join(links.select(F.col("parent").alias("row")).distinct(), "row", "left_anti")
+    # who still has an ancestor so many levels up has a cycle above
+    leaves = leaves.join(jump.select("row"), "row", "left_anti")
+    found = stored(leaves.select(F.col("row").alias("leaf"), "conv_id", F.col("message_id").alias("leaf_id"), F.lit(0).cast("long").alias("up"), "row", "score"), "paths")
+    for k, jump in enumerate(jumps):
+        more = found.drop("score").join(jump, "row").select("leaf", "conv_id", "leaf_id", (F.col("up") + (1 << k)).alias("up"), F.col("to").alias("row"), F.col("to_score").alias("score"))
+        found = stored(found.unionByName(more), "paths")
+    return found
 
 
 def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -87,20 +95,21 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     branches of a conversation to keep (all if None). ``loss_spans`` are the (start, length) in code points, from
     0, of the assistant's texts in ``formatted``.
     """
-    messages = _keyed(messages.select("conv_id", "message_id", "parent_id", body("role").alias("role"), body("text").alias("text"), "score"))
-    on_path = paths(messages).join(messages.select("conv_id", "message_id", "role", "text", "score"), ["conv_id", "message_id"])
+    numbered = _numbered(messages)
+    found = paths(numbered)
+    chosen = found.groupBy("leaf").agg(F.first("conv_id").alias("conv_id"), F.first("leaf_id").alias("leaf_id"), F.round(F.avg("score"), 9).alias("score"), F.count("*").alias("n_turns"))
+    if branches is not None:
+        best = W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n_turns"), "leaf_id", "leaf")
+        chosen = cut(chosen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches))
+        found = found.join(chosen.select("leaf"), "leaf", "left_semi")
+    else:
+        chosen = chosen.withColumn("rank", F.lit(None).cast("int"))
+    on_path = found.select("leaf", "up", "row").join(numbered.select("row", "role", "text"), "row")
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
     turn = F.struct(
         (-F.col("up")).alias("at"), head.alias("head"), escape(F.col("text")).alias("text"), (F.col("role") == "assistant").alias("loss")
     )
-    whole = on_path.groupBy("conv_id", "leaf_id").agg(
-        F.sort_array(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"), F.count("*").alias("n_turns")
-    )
-    if branches is not None:
-        best = W.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("n_turns"), "leaf_id")
-        whole = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    else:
-        whole = whole.withColumn("rank", F.lit(None).cast("int"))
+    whole = on_path.groupBy("leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     size = lambda t: F.length(t["head"]) + F.length(t["text"]) + len(END) + 1
     none = F.array().cast("array<struct<start:int,length:int>>")
     span = lambda at, t: F.struct(at.alias("start"), F.length(t["text"]).alias("length"))
@@ -110,7 +119,8 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     )
     spans = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(f"{END}\n"))), "")
-    return whole.select("conv_id.conv_id", F.col("leaf_id.message_id").alias("leaf_id"), "rank", "score", text.alias("formatted"), spans.alias("loss_spans"))
+    whole = whole.select("leaf", text.alias("formatted"), spans.alias("loss_spans"))
+    return whole.join(chosen, "leaf").select("conv_id", "leaf_id", "rank", "score", "formatted", "loss_spans")
 
 
 def read_back(formatted: Column) -> Column:

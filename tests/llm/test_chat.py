@@ -57,3 +57,40 @@ def test_messages_without_ids(spark):
     got = chat.format_trees(tree).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
     said = sorted((r.conv_id or 0, r.leaf_id or 0, "".join(t.text for t in r.turns)) for r in got)
     assert said == [(0, 0, "qac"), (0, 0, "qb"), (5, 0, "alone"), (5, 1, "one")]
+
+
+def _brute(messages):
+    """Every path as (conv_id, leaf_id, texts), climbing one message at a time."""
+    key = lambda m: tuple((x is not None, x) for x in (m[2], m[5]))
+    first = {}
+    for i, m in sorted(enumerate(messages), key=lambda x: key(x[1])):
+        if m[1] is not None:
+            first.setdefault((m[0], m[1]), i)
+    parent = [first.get((m[0], m[2])) if m[2] is not None else None for m in messages]
+    out = []
+    for leaf in set(range(len(messages))) - set(parent):
+        path, at = [], leaf
+        while at is not None and len(path) <= len(messages):
+            path.append(at)
+            at = parent[at]
+        if at is None:
+            out.append((messages[leaf][0], messages[leaf][1], "|".join(messages[i][4] or "" for i in reversed(path))))
+    return sorted(out, key=repr)
+
+
+def test_trees_with_repeated_ids_and_cycles_like_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(2):
+        messages = [(rng.choice([1, 2, None]), rng.choice([None, *range(14)]), rng.choice([None, *range(14)]), "user", f"t{rng.randrange(9)}", rng.random()) for _ in range(60)]
+        messages += [(9, 1, None, "user", "q", 1.0), (9, 2, 1, "assistant", "a", 1.0), (9, 2, 1, "assistant", "a", 1.0)]
+        df = spark.createDataFrame(messages, "conv_id long, message_id long, parent_id long, role string, text string, score double")
+        got = chat.format_trees(df).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+        assert sorted(((r.conv_id, r.leaf_id, "|".join(t.text for t in r.turns)) for r in got), key=repr) == _brute(messages)
+
+
+def test_long_conversation(spark):
+    flat = spark.range(1000).select(F.lit(3).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = chat.format_trees(chat.chain(flat), branches=1).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert len(rows) == 1 and [t.text for t in rows[0].turns] == [str(k) for k in range(1000)]
