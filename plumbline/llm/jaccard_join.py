@@ -16,7 +16,9 @@ all of them, and one without words (null, empty, blank) has none and is linked t
    that a document is similar enough to.
 
 With the default bands a pair at the threshold shares no band with probability (1 - 0.8^8)^64, about 8e-6.
-Repeated rows with one id count as copies; different texts under one id share its group. An empty table gives an empty result.
+Repeated rows with one id count as copies; different texts under one id share its group. A row without an id is
+a copy of the rows with the same shingles; where none of them has an id, their class_id and copy_of are null, they count
+each other as links and nothing else, as nothing could name them. Columns beside doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BANDS, ROWS = 64, 8
 SCREEN, STEP = 128, 16
 #: Documents of a block; a task holds the shingles of two blocks.
 BLOCK = 100
+#: Parts into which the rows of a large component are dealt to learn its size.
+SALTS = 64
 #: Words whose hashes a Python worker remembers during a task.
 _CACHE_WORDS = 120_000
 _VOCABULARY = 8192
@@ -206,9 +210,12 @@ def compare(left: list[tuple], right: list[tuple] | None, threshold: float, need
 
 def _members(docs: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
     """The representatives in candidate components, with sizes of component and class, values and shingles."""
-    sizes = cut(components.groupBy("component").agg(F.count("*").alias("members")))
-    placed = components.join(sizes, "component").join(classes.select("rep", "size", "set_key"), "rep")
-    placed = placed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # only components of several blocks need their size; each of their rows goes to one of SALTS copies of it
+    large = components.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    large = cut(large.select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    placed = components.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALTS))).join(large, ["component", "salt"], "left")
+    placed = placed.select("rep", "component", F.coalesce("several", F.lit(1)).alias("blocks"))
+    placed = placed.join(classes.select("rep", "size", "set_key"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
     rows = placed.join(texts, "rep").select("rep", "size", "component", "blocks", "block", "set_key", "text")
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -54,12 +55,32 @@ def test_edges(spark, odd_docs, no_docs):
     assert rows[1].n_links == rows[2].n_links == 0 and rows[1].class_id == 1
     assert rows[4].n_links == 1 and rows[6].class_id == rows[5].class_id == 5
     assert jj.jaccard_groups(no_docs).count() == 0
+    nameless = spark.createDataFrame([(None, "p q r s t"), (None, "p q r s t"), (None, "u v w x y"), (3, "u v w x  y")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in jj.jaccard_groups(nameless).collect()) == [(0, 0, 1), (0, 0, 1), (0, 3, 1), (3, 3, 1)]
     kept = jj.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     # 6 is a copy of 5; both rows of 4 stay, and so does the row without an id
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 7, 8, 9, 10]
 
 
+def test_recall_on_the_documents(spark):
+    """Every pair at 0.8 or more among the documents of sf0.01 is linked, against exact counts of common shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
+    at, links = defaultdict(list), Counter()
+    for i, found in sets.items():
+        for x in found:
+            at[x].append(i)
+    common = Counter(p for ids in at.values() if len(ids) > 1 for p in combinations(sorted(ids), 2))
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links.update((a, b))
+    got = {r.doc_id: r.n_links for r in jj.jaccard_groups(docs).collect()}
+    assert sum(links.values()) > 100
+    assert {i: n for i, n in got.items() if n} == dict(links)
+
+
 def test_least_matches_is_the_posterior():
     # P(J >= t | m of n match) by integrating the likelihood under a uniform prior
     x = np.linspace(0, 1, 200_001)
