@@ -7,11 +7,12 @@ all of them, and one without words (null, empty, blank) has none and is linked t
    go on, with the size of their class, so copies are never compared with each other.
 2. MinHash values are banded. Representatives that share a band are joined to the least one of the band, and the
    connected components of these candidate links say which documents may have to do with each other.
-3. A component is cut into blocks, and a task compares two blocks at a time: all pairs between them are screened
-   by comparing MinHash values a few at a time and dropping each pair as soon as the posterior probability
-   (uniform prior) that its similarity reaches the threshold is below the tolerance. What is left is verified
-   exactly on the shingles. A task returns link counts and a spanning forest of its links, never the pairs, so a
-   group of many near copies costs comparisons in many tasks but no rows.
+3. A component is cut into blocks by the first MinHash value, so that like documents are near each other, and blocks
+   that share a band are compared, two in a task: all pairs between them are screened by comparing MinHash values a
+   few at a time and dropping each pair as soon as the posterior probability (uniform prior) that its similarity
+   reaches the threshold is below the tolerance. What is left is verified exactly on the shingles. A task returns
+   link counts and a spanning forest of its links, never the pairs, so a group of many near copies costs comparisons
+   in many tasks but no rows, and a component that is long rather than dense costs few comparisons.
 4. Connected components of the forests are the groups. ``n_links`` counts the other documents (each copy counts)
    that a document is similar enough to.
 
@@ -40,7 +41,7 @@ BANDS, ROWS = 64, 8
 SCREEN, STEP = 128, 16
 #: Documents of a block; a task holds the shingles of two blocks.
 BLOCK = 100
-#: Parts into which the rows of a large component are dealt to learn its size.
+#: Parts into which the rows of a large group are dealt to learn its size.
 SALTS = 64
 #: Words whose hashes a Python worker remembers during a task.
 _CACHE_WORDS = 120_000
@@ -113,23 +114,29 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, set_key, bands``: a digest of the shingle set and one hash per band; no bands without words."""
+    """``doc_id, set_key, near, bands``: a digest of the shingle set, its first MinHash value and one hash per band.
+
+    Without words the first two are null and there are no bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, near, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 keys.append(_digest(found) if len(found) else None)
                 if len(found):
                     values = minhash(found).reshape(BANDS, ROWS).astype(np.uint64)
+                    near.append(int(values[0, 0]))
                     bands.append(_mixed((values * _POWERS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE).view(np.int64))
                 else:
+                    near.append(None)
                     bands.append(np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(near, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "set_key", "near", "bands"])
         _WORD_HASH.clear()
 
-    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), body().alias("text")).mapInArrow(run, "doc_id long, set_key binary, near long, bands array<long>")
 
 
 def candidate_components(classes: DataFrame) -> DataFrame:
@@ -208,16 +215,46 @@ def compare(left: list[tuple], right: list[tuple] | None, threshold: float, need
     return counts, forest
 
 
-def _members(docs: DataFrame, components: DataFrame, classes: DataFrame) -> DataFrame:
-    """The representatives in candidate components, with sizes of component and class, values and shingles."""
-    # only components of several blocks need their size; each of their rows goes to one of SALTS copies of it
-    large = components.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
-    large = cut(large.select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    placed = components.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALTS))).join(large, ["component", "salt"], "left")
-    placed = placed.select("rep", "component", F.coalesce("several", F.lit(1)).alias("blocks"))
-    placed = placed.join(classes.select("rep", "size", "set_key"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _with_parts(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``parts``, into how many blocks a group of more than ``most`` rows is to be cut (null: none), and these numbers.
+
+    Only such groups need their size. Each of their rows goes to one of ``SALTS`` copies of it.
+    """
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    large = cut(large.select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    return rows.withColumn("salt", F.pmod(F.hash("rep"), F.lit(SALTS))).join(large, [*keys, "salt"], "left").drop("salt"), large
+
+
+def blocks_of(components: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Every representative's block (0 in a component of one), and which blocks are to be compared, None if there is nothing to choose.
+
+    A large component is dealt into cells by the first MinHash value, which like documents mostly have in common, and
+    a crowded cell into further parts by id. ``component, block, i, j`` has two rows for a pair of blocks that share a
+    band, one for each of them, and one for a block with itself.
+    """
+    placed, large = _with_parts(components, ["component"], BLOCK)
+    if large.isEmpty():
+        return components.withColumn("block", F.lit(0).cast("long")), None
+    placed = placed.withColumnRenamed("parts", "cells")
+    spread = placed.where("cells IS NOT NULL").join(classes.select("rep", "near", "bands"), "rep")
+    spread = spread.withColumn("cell", F.pmod(F.xxhash64("near"), F.col("cells")))
+    spread, _ = _with_parts(spread, ["component", "cell"], 2 * BLOCK)
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
+    spread = stored(spread.select("rep", "component", "bands", (F.shiftleft("cell", 32) + part).alias("block")), "spread")
+    spots = spread.select("component", "block", F.explode("bands").alias("band")).distinct()
+    other = spots.select("band", F.col("block").alias("j"))
+    pairs = spots.withColumnRenamed("block", "i").join(other, "band").where("i <= j").select("component", "i", "j").distinct()
+    ends = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    partners = stored(pairs.select("component", F.explode(ends).alias("block"), "i", "j"), "partners")
+    alone = placed.where("cells IS NULL").select("rep", "component", F.lit(0).cast("long").alias("block"))
+    return alone.unionByName(spread.select("rep", "component", "block").distinct()), partners
+
+
+def _members(docs: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The representatives in candidate components, with their block, size of the class, values and shingles."""
+    placed = placed.join(classes.select("rep", "size", "set_key"), "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
-    rows = placed.join(texts, "rep").select("rep", "size", "component", "blocks", "block", "set_key", "text")
+    rows = placed.join(texts, "rep").select("rep", "size", "component", "block", "set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,20 +263,24 @@ def _members(docs: DataFrame, components: DataFrame, classes: DataFrame) -> Data
             own = [_digest(s) == k for s, k in zip(found, batch.column("set_key").to_pylist(), strict=True)]
             batch, found = batch.filter(pa.array(own, pa.bool_())), [s for s, k in zip(found, own, strict=True) if k]
             values = [minhash(s, SCREEN).astype("<u2").tobytes() for s in found]
-            keep = ["rep", "size", "component", "blocks", "block"]
+            keep = ["rep", "size", "component", "block"]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(values, pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], [*keep, "values", "shingles"])
         _WORD_HASH.clear()
 
-    return rows.mapInArrow(run, "rep long, size long, component long, blocks int, block int, values binary, shingles binary")
+    return rows.mapInArrow(run, "rep long, size long, component long, block long, values binary, shingles binary")
+
 
+def verified(members: DataFrame, partners: DataFrame | None, threshold: float, tolerance: float) -> DataFrame:
+    """Rows of two kinds: (rep, links) with what one task counted, and (rep, other) for an edge of a forest.
 
-def verified(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Rows of two kinds: (rep, links) with what one task counted, and (rep, other) for an edge of a forest."""
+    Without ``partners`` every block is compared with itself; Spark broadcasts them where they are few.
+    """
     needed = least_matches(threshold, tolerance)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = members.withColumn("with", other).select(
-        "component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "size", "values", "shingles"
-    )
+    i, j = F.col("block"), F.col("block")
+    if partners is not None:
+        members = members.join(partners, ["component", "block"], "left")
+        i, j = F.coalesce("i", "block"), F.coalesce("j", "block")
+    units = members.select("component", i.alias("i"), j.alias("j"), "block", "rep", "size", "values", "shingles")
     units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,11 +324,12 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     """
     drawn = stored(sketches(docs), "sketches")
     classes = drawn.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("near").alias("near"), F.first("bands").alias("bands")
     )
     classes = stored(classes, "classes")
     components = cut(candidate_components(classes))
-    found = stored(verified(_members(docs, components, classes), threshold, tolerance), "links")
+    placed, partners = blocks_of(components, classes)
+    found = stored(verified(_members(docs, placed, classes), partners, threshold, tolerance), "links")
     groups = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.where("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("set_key", "rep", "size").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

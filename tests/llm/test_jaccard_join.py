@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 from plumbline.llm import jaccard_join as jj
 from plumbline.llm.common import connected_components
+from pyspark.sql import functions as F
 
 
 def _corpus(seed=1, groups=25):
@@ -50,6 +51,25 @@ def test_large_group_is_compared_in_blocks(spark):
     assert got == _brute(rows)
 
 
+def test_long_chain_compares_few_blocks(spark):
+    """A component that is long, not dense: every document is like its neighbours only."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(7 * 420 + 80)]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 80])) for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_groups(docs).collect()}
+    assert got == _brute(rows)
+    drawn = jj.sketches(docs).withColumnRenamed("doc_id", "rep")
+    chain = spark.createDataFrame([(i, 0) for i in range(420)], "rep long, component long")
+    # the least bands that tell: neighbours share the i-th band of their own
+    bands = F.array(F.col("rep"), F.col("rep") + 1)
+    placed, partners = jj.blocks_of(chain, drawn.withColumn("near", F.floor(F.col("rep") / 42)).withColumn("bands", bands))
+    blocks = placed.select("block").distinct().count()
+    pairs = partners.select("i", "j").distinct().count()
+    assert placed.count() == 420 and blocks >= 4
+    assert pairs < blocks + 20 and partners.where("i = j").count() == blocks
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = {r.doc_id: r for r in jj.jaccard_groups(odd_docs).collect()}
     assert rows[1].n_links == rows[2].n_links == 0 and rows[1].class_id == 1
